@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -45,10 +47,23 @@ def shared_dir(spark: SparkSession) -> str:
     return path
 
 
+@contextlib.contextmanager
+def no_leftovers(spark: SparkSession):
+    """Queries that run inside delete their shuffle files when they have ended, not some time later."""
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name, "false")
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Compute df once and cut its lineage with a reliable checkpoint in the shared folder."""
     shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    with no_leftovers(df.sparkSession):
+        return df.checkpoint(eager=True)
 
 
 def row_key(*cols: Column | str) -> Column:
@@ -59,3 +74,23 @@ def row_key(*cols: Column | str) -> Column:
 def ascii_lower(col: Column) -> Column:
     """A-Z lower-cased, everything else as it is. For short strings."""
     return F.translate(col, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+
+
+class Scratch:
+    """Intermediate tables in the shared folder: computed once, readable by every executor, freed when used."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.root = spark, f"{shared_dir(spark)}/scratch-{uuid.uuid4().hex}"
+
+    def keep(self, df: DataFrame, name: str) -> DataFrame:
+        """Write df as a table and read it back; the shuffle files that made it go."""
+        with no_leftovers(self.spark):
+            df.write.parquet(f"{self.root}/{name}")
+        return self.spark.read.schema(df.schema).parquet(f"{self.root}/{name}")
+
+    def free(self, *names: str) -> None:
+        """Delete tables that nothing reads any more."""
+        jvm = self.spark.sparkContext._jvm
+        for name in names:
+            path = jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
+            path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)

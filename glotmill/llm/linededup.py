@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from glotmill.llm.common import take
+from glotmill.llm.common import Scratch, take
 
 #: Lines within one word's edit are near only if the longer one has at least so many words: then 0.8 of it agrees.
 LEAST_WORDS = 5
@@ -88,23 +88,27 @@ def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", column
         return [F.xxhash64(F.lit("a"), size, F.slice("w", F.lit(1), cut)), F.xxhash64(F.lit("z"), size, F.slice("w", n - (size - cut) + 1, size - cut))]
 
     meets = F.when(n >= LEAST_WORDS, F.array(*halves(n), *halves(n - 1))).when(n == LEAST_WORDS - 1, F.array(*halves(n)))
+    scratch = Scratch(docs.sparkSession)
     seen = lines.select("_row", "no", place.alias("place"), h1.alias("h1"), h2.alias("h2"), *[F.get(meets, i).alias(f"m{i}") for i in range(4)])
+    seen = scratch.keep(seen, "seen")
     first = seen.groupBy("h1", "h2").agg(
         F.min("place").alias("place"), F.min_by("_row", "place").alias("_row"), F.min_by("no", "place").alias("no"), *[F.max(f"m{i}").alias(f"m{i}") for i in range(4)]
     )
+    first = scratch.keep(first, "first")
 
     # Lines that share a half with another line.
-    half = first.select("h1", "h2", "_row", "no", "place", F.explode(F.array_compact(F.array("m0", "m1", "m2", "m3"))).alias("key"))
-    shared = half.groupBy("key").agg(F.min("h1").alias("a"), F.max("h1").alias("b")).where("a < b").select("key")
-    chosen = half.join(shared, "key", "left_semi").select("h1", "h2", "_row", "no", "place").distinct()
+    half = first.select("h1", F.explode(F.array_compact(F.array("m0", "m1", "m2", "m3"))).alias("key"))
+    shared = half.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
+    meeting = half.join(shared, "key", "left_semi").select("h1").distinct()
+    chosen = first.select("h1", "_row", "no", "place").dropDuplicates(["h1"]).join(meeting, "h1", "left_semi")
 
     # Their words, from the documents that hold them first.
     by_row = chosen.groupBy("_row").agg(F.collect_list(F.struct("no", "h1", "place")).alias("want"))
-    texts = whole.join(by_row, "_row").select(F.split(text, "\n").alias("all"), F.explode("want").alias("x"))
-    near = texts.select("x.h1", "x.place", _words(F.get("all", "x.no")).alias("w")).dropDuplicates(["h1"])
+    texts = whole.select("_row", text).join(by_row, "_row").select(F.split(text, "\n").alias("all"), F.explode("want").alias("x"))
+    near = scratch.keep(texts.select("x.h1", "x.place", _words(F.get("all", "x.no")).alias("w")), "near")
     at = F.transform("w", lambda w, i: F.xxhash64(w, i))
     before = F.transform("w", lambda w, i: F.xxhash64(w, i - 1))
-    near = near.withColumns({"at": at, "before": before})
+    stored, near = near, near.withColumns({"at": at, "before": before})
     full = F.aggregate("at", F.lit(0).cast("long"), lambda a, v: a.bitwiseXOR(v))
     # The xor of a line without its word i differs from that without word i - 1 by words i - 1 and i alone.
     steps = F.transform(
@@ -118,7 +122,10 @@ def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", column
     fewer = F.when(n >= LEAST_WORDS, F.transform(F.array_distinct("without"), lambda v: F.struct(F.xxhash64(F.lit("d"), n - 1, v).alias("key"), F.lit(1).alias("role"))))
     same = F.array(F.struct(F.xxhash64(F.lit("d"), n, "full").alias("key"), F.lit(0).alias("role")))
     empty = F.array().cast("array<struct<key:bigint,role:int>>")
-    variants = near.select("h1", "place", F.explode(F.concat(F.coalesce(wild, empty), F.coalesce(fewer, empty), same)).alias("v")).select("h1", "place", "v.key", "v.role")
+    variants = near.select("h1", F.explode(F.concat(F.coalesce(wild, empty), F.coalesce(fewer, empty), same)).alias("v")).select("h1", "v.key", "v.role")
+    equal = variants.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
+    equal = scratch.keep(variants.join(equal, "key", "left_semi"), "equal")
+    variants = equal.join(stored.select("h1", "place"), "h1")
 
     # In a bucket of "d" keys, lines as they are (one at most) meet those with a word deleted; in one of "s" keys, all meet.
     is_d = F.col("role") == 1
@@ -131,14 +138,15 @@ def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", column
     as_is = (F.col("role") == 0) & (F.col("d") == 1)
     met = met.select("h1", "place", F.when(as_is, F.col("p1")).otherwise(F.col("p0")).alias("p"), F.when(as_is, F.col("b1")).otherwise(F.col("b0")).alias("b"))
     pairs = met.where("p < place").groupBy("h1").agg(F.min_by("b", "p").alias("b"))
-    words = near.select("h1", "w")
-    other = near.select(F.col("h1").alias("b"), F.col("w").alias("v"))
-    gone = pairs.join(words, "h1").join(other, "b").where(_one_edit(F.col("w"), F.col("v"))).select("h1", F.lit(True).alias("near"))
+    words = stored.select("h1", "w")
+    other = stored.select(F.col("h1").alias("b"), F.col("w").alias("v"))
+    gone = pairs.join(words, "h1").join(other, "b").where(_one_edit(F.col("w"), F.col("v"))).select("h1", F.lit(True).alias("near")).distinct()
 
     # Back to the occurrences, and from their documents' texts.
     decided = first.select("h1", "h2", F.col("place").alias("first_place")).join(gone, "h1", "left")
     drop = seen.select("_row", "no", "place", "h1", "h2").join(decided, ["h1", "h2"]).where(F.col("near") | (F.col("place") > F.col("first_place")))
-    lost = drop.groupBy("_row").agg(F.collect_set("no").alias("lost"))
+    lost = scratch.keep(drop.groupBy("_row").agg(F.collect_set("no").alias("lost")), "lost")
+    scratch.free("seen", "first", "near", "equal")
     out = whole.join(lost, "_row", "left").withColumn("_all", F.split(text, "\n"))
     kept = F.array_except(F.sequence(F.lit(0), F.size("_all") - 1), F.coalesce("lost", F.array().cast("array<int>")))
     out = out.withColumn("_kept", F.when(F.col("_all").isNotNull(), kept))
