@@ -19,7 +19,11 @@ SAMPLE = 6_000
 #: Words that become features for each category, and the documents in which a word must occur.
 WORDS = 300
 LEAST_DOCS = 4
+#: Standard errors by which a word's log odds must differ between a category's two values.
+LEAST_GAIN = 3.0
 FOLDS = 5
+#: Letters of a word's beginning, which is a feature, too.
+STEM = 5
 LETTERS = re.compile(r"[^\W\d_]+")
 SHAPES = 6
 
@@ -45,12 +49,18 @@ class Chain:
     weights: list[np.ndarray] = field(default_factory=list)
 
 
+def terms(text: str) -> set[str]:
+    """A text's words in lower case, and the beginnings of longer ones."""
+    words = set(LETTERS.findall(text.lower()))
+    return words | {w[:STEM] + "*" for w in words if len(w) > STEM}
+
+
 def features(vocabulary: dict[str, int], texts: Sequence[str | None]) -> np.ndarray:
     """Presence of the vocabulary's words, and shapes()."""
     x = np.zeros((len(texts), len(vocabulary) + SHAPES), np.float32)
     for i, t in enumerate(texts):
         t = t or ""
-        found = vocabulary.keys() & set(LETTERS.findall(t.lower()))
+        found = vocabulary.keys() & terms(t)
         x[i, [vocabulary[w] for w in found]] = 1
         x[i, len(vocabulary) :] = shapes(t)
     return x
@@ -60,7 +70,7 @@ def _sigmoid(z: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
-def fit_linear(x: np.ndarray, y: np.ndarray, penalty: float = 1.0, steps: int = 25) -> np.ndarray:
+def fit_linear(x: np.ndarray, y: np.ndarray, penalty: float = 0.2, steps: int = 25) -> np.ndarray:
     """L2-penalised logistic regression by Newton steps; returns weights with the bias last."""
     x = np.hstack([x, np.ones((len(x), 1), x.dtype)]).astype(np.float64)
     w, ridge = np.zeros(x.shape[1]), np.full(x.shape[1], penalty)
@@ -85,7 +95,7 @@ def train(texts: list[str], labels: np.ndarray, categories: Sequence[str], fold:
     A later model's training features are the probabilities that models of the earlier categories, fitted
     without the document's fold, give it. A category of which one value is missing predicts the other.
     """
-    bags = [set(LETTERS.findall(t.lower())) for t in texts]
+    bags = [terms(t) for t in texts]
     words: dict[str, np.ndarray] = {}
     for b, row in zip(bags, labels, strict=True):
         for w in b:
@@ -98,9 +108,9 @@ def train(texts: list[str], labels: np.ndarray, categories: Sequence[str], fold:
 
         def gain(w: str, k: int = k, pos: float = pos, neg: float = neg) -> float:
             a, b = words[w][k], words[w][k + len(categories)]
-            return abs(math.log((a + 0.5) / (pos + 1)) - math.log((b + 0.5) / (neg + 1))) * math.sqrt(a + b)
+            return abs(math.log((a + 0.5) / (pos + 1)) - math.log((b + 0.5) / (neg + 1))) / math.sqrt(1 / (a + 0.5) + 1 / (b + 0.5))
 
-        often = [w for w, c in words.items() if c[k] + c[k + len(categories)] >= LEAST_DOCS]
+        often = [w for w, c in words.items() if c[k] + c[k + len(categories)] >= LEAST_DOCS and gain(w) >= LEAST_GAIN]
         chosen |= set(sorted(often, key=lambda w: (-gain(w), w))[:WORDS])
     chain = Chain(list(categories), {w: i for i, w in enumerate(sorted(chosen))})
     x = features(chain.vocabulary, texts)
