@@ -22,7 +22,7 @@ LEAST_CUT = 16
 #: Documents whose rests are equally long are ranked in so many groups at least and at most, one more for each million.
 GROUPS = (64, 4096)
 #: Words whose ids a worker keeps at a time.
-CACHE = 400_000
+CACHE = 1_000_000
 TOKENIZER = "word_bpe_49k.json"
 
 
@@ -33,42 +33,52 @@ def default_tokenizer() -> str:
 
 
 class _Words(dict):
-    """Word (a run without ASCII white space) to its ids as little-endian 32-bit bytes."""
+    """Word (UTF-8, a run without ASCII white space) to its ids as little-endian 32-bit bytes."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
 
-    def __missing__(self, word: str) -> bytes:
-        ids = self.tokenizer.encode(word, add_special_tokens=False).ids
-        self[word] = out = np.array(ids, "<u4").tobytes()
-        return out
-
-    def learn(self, words: list[str]) -> None:
-        for word, e in zip(words, self.tokenizer.encode_batch_fast(words, add_special_tokens=False), strict=True):
-            self[word] = np.array(e.ids, "<u4").tobytes()
+    def learn(self, words: list[bytes]) -> None:
+        """Encode words in lines of many; a token belongs to the word that its first character lies in."""
+        for i in range(0, len(words), 4096):
+            part = words[i : i + 4096]
+            texts = [w.decode("utf-8", "surrogatepass") for w in part]
+            e = self.tokenizer.encode(" ".join(texts), add_special_tokens=False)
+            ids = np.array(e.ids, "<u4").tobytes()
+            starts = np.cumsum([0, *(len(t) + 1 for t in texts[:-1])])
+            at = np.fromiter((o[0] for o in e.offsets), np.int64, len(e))
+            ends = (4 * np.searchsorted(np.searchsorted(starts, at, "right"), np.arange(1, len(part) + 1), "right")).tolist()
+            self.update(zip(part, (ids[x:y] for x, y in zip([0, *ends], ends, strict=False)), strict=True))
 
 
 _WORDS: dict[str, _Words] = {}
-#: str.split() with its white space limited to ASCII's, which the tokenizer drops, too.
-_SPACE = str.maketrans("\t\n\x0b\x0c\r", "     ")
+
+
+def _plain(text: bytes) -> bytes:
+    """A-Z lower-cased, as the tokenizer does, except where combining marks or special tokens could make a difference."""
+    return text if b"<|" in text or b"\xcc" in text or b"\xcd" in text else text.lower()
 
 
 def tokenize(texts: list[str | None], path: str) -> list[bytes]:
     """The ids of each text (little-endian 32 bits), equal to encode(text, add_special_tokens=False).
 
-    The tokenizer drops white space and never joins across it, so words are encoded one by one and remembered.
+    The tokenizer drops white space and never joins across it, so words are encoded once and remembered.
     """
     if path not in _WORDS:
         _WORDS[path] = _Words(path)
     words = _WORDS[path]
     if len(words) > CACHE:
         words.clear()
-    split = [[w for w in (t or "").translate(_SPACE).split(" ") if w] for t in texts]
-    new = {w for s in split for w in s} - words.keys()
+    split = [_plain((t or "").encode("utf-8", "surrogatepass")).split() for t in texts]
+    new = [w for w in set().union(*split) if w not in words]
     if new:
-        words.learn(list(new))
+        # A letter and a full stop or comma after it are never in one token.
+        ended = [w for w in new if w[-1:] in (b".", b",") and w[-2:-1].isalpha()]
+        base = {w[:-1] for w in ended} | {b".", b","} | {*new} - {*ended}
+        words.learn([w for w in base if w not in words])
+        words.update((w, words[w[:-1]] + words[w[-1:]]) for w in ended)
     find = words.__getitem__
     return [b"".join(map(find, s)) for s in split]
 
