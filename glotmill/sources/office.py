@@ -281,60 +281,6 @@ def features(rows: DataFrame) -> DataFrame:
     )
 
 
-def replace_paragraphs(content: bytes, edits: dict[int, tuple[str, str]]) -> tuple[bytes, list[int]]:
-    """Write new texts into a Word part by paragraph ordinal; returns the part and the ordinals whose source didn't match."""
-    for name, uri in re.findall(rb'xmlns:([\w-]+)="([^"]+)"', content):
-        ET.register_namespace(name.decode(), uri.decode())
-    root = ET.fromstring(content)
-    now, bad = dict(word_paragraphs(content)), []
-    for n, p in enumerate((e for e in root.iter() if _local(e.tag) == "p"), 1):
-        if n not in edits:
-            continue
-        source, target = edits[n]
-        runs = [t for t in p.iter() if _local(t.tag) == "t"]
-        if now.get(n) != source or not runs:
-            bad.append(n)
-            continue
-        total, at, cuts = sum(len(t.text or "") for t in runs), 0, []
-        for t in runs:  # in proportion to the old runs
-            at += len(t.text or "")
-            cuts.append(round(len(target) * at / total) if total else len(target))
-        for t, a, b in zip(runs, [0, *cuts[:-1]], [*cuts[:-1], len(target)], strict=True):
-            t.text = target[a:b]
-            t.set("{http://www.w3.org/XML/1998/namespace}space", "preserve")
-    return ET.tostring(root, encoding="UTF-8", xml_declaration=True), bad
-
-
-def write_word(packages: DataFrame, edits: DataFrame) -> DataFrame:
-    """path, content, errors: packages with edits (path, part, ord, source, target) written in; other parts keep their bytes.
-
-    One package is rebuilt in one task; an edit whose source no longer matches is reported and leaves all of its package as it was.
-    """
-    grouped = edits.groupBy("path").agg(F.collect_list(F.struct("part", "ord", "source", "target")).alias("edits"))
-
-    @F.pandas_udf("content binary, errors array<string>")
-    def run(contents: pd.Series, lists: pd.Series) -> pd.DataFrame:
-        rows = []
-        for content, edit in zip(contents, lists, strict=True):
-            todo: dict[str, dict] = {}
-            for e in edit if edit is not None else []:
-                todo.setdefault(e["part"], {})[e["ord"]] = (e["source"], e["target"])
-            out, errors = io.BytesIO(), []
-            with zipfile.ZipFile(io.BytesIO(content)) as old, zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as new:
-                errors += [f"no part {p}" for p in todo if p not in old.namelist()]
-                for info in old.infolist():
-                    data = old.read(info)
-                    if info.filename in todo:
-                        data, bad = replace_paragraphs(data, todo[info.filename])
-                        errors += [f"{info.filename}:{n}: source changed" for n in bad]
-                    new.writestr(info, data)
-            rows.append((content if errors else out.getvalue(), errors))
-        return pd.DataFrame(rows, columns=["content", "errors"])
-
-    joined = packages.join(grouped, "path", "left")
-    return joined.select("path", run("content", "edits").alias("r")).select("path", "r.*")
-
-
 def replace_media(packages: DataFrame, swaps: DataFrame) -> DataFrame:
     """path, content, replaced: packages whose parts with a given sha256 have new bytes (swaps: path, sha256, new)."""
     grouped = swaps.groupBy("path").agg(F.collect_list(F.struct("sha256", "new")).alias("swaps"))

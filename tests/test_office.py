@@ -65,19 +65,6 @@ def test_containers(files):
     assert office.biff(rec(0x809)) == "damaged workbook stream"
 
 
-def test_write_back(spark, files):
-    edits = spark.createDataFrame([("a.docx", "word/document.xml", 1, "one", "eins"), ("a.docx", "word/document.xml", 2, "two\tx", "zwei")], "path string, part string, ord int, source string, target string")
-    words = files.where("path = 'a.docx'")
-    out = office.write_word(words, edits).cache()
-    assert out.first().errors == []
-    before = {r.part: r.sha256 for r in office.parts(words).collect()}
-    after = {r.part: r.sha256 for r in office.parts(out).collect()}
-    assert {k for k in before if before[k] != after[k]} == {"word/document.xml"} and list(before) == list(after)
-    assert office.all_word_paragraphs(office.parts(out)).where("ord = 1").first().text == "eins"
-    bad = office.write_word(words, edits.withColumn("source", F.lit("other"))).first()
-    assert len(bad.errors) == 2 and bytes(bad.content) == bytes(words.first().content)
-
-
 def test_media(spark, files):
     import hashlib
 
