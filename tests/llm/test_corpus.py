@@ -431,3 +431,31 @@ def test_pipeline_stages(spark, docs, rows, empty):
     near = P.drop_near_copies(spark, take(docs, *P.COLUMNS), "").collect()
     roots = linked([slow_simhash(r[1]) for r in rows])
     assert len(near) == len(set(roots.values()))
+
+
+def test_edited_copies_are_dropped(spark, docs, rows):
+    import corpus_pipeline as P
+
+    rng = random.Random(11)
+    word = lambda: "".join(rng.choices("abcdefghijklmnop", k=6))
+    passage = [word() for _ in range(40)]
+    made = [r[1] for r in rows]
+    for _ in range(12):
+        base = [word() for _ in range(rng.randint(30, 200))] + passage
+        made.append(" ".join(base))
+        for edits in (1, 2, 3, 6):
+            words = list(base)
+            for i in rng.sample(range(len(words)), edits):
+                words[i] = word()
+            made.append(" ".join(words))
+    sets = [set(sketches.shingle_hashes(t).tolist()) for t in made]
+    root = list(range(len(made)))
+    for i, a in enumerate(sets):
+        for j, b in enumerate(sets[:i]):
+            if 9 * len(a & b) >= 4 * (len(a) + len(b)) and root[i] != root[j]:
+                lo, hi = sorted((root[i], root[j]))
+                root = [lo if r == hi else r for r in root]
+    df = spark.createDataFrame([(i, t, "en", "a", 0) for i, t in enumerate(made)], "doc_id bigint, text string, lang string, source string, n_chars bigint").repartition(5)
+    got = dict(P.STAGES)["near_copies"](spark, df, "").collect()
+    assert sorted(r.doc_id for r in got) == sorted(set(root))
+    assert len(P.drop_near_copies(spark, df, "").collect()) > len(set(root))
