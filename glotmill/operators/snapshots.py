@@ -33,19 +33,41 @@ def reasons(checks: list[tuple[Column, str]]) -> Column:
     return F.array_compact(F.array(*[F.when(F.coalesce(c, F.lit(False)), F.lit(name)) for c, name in checks]))
 
 
-def closure(edges: DataFrame, roots: DataFrame, max_rounds: int = 100) -> DataFrame:
-    """Nodes that roots(owner) reach over edges(owner, target), each once, found breadth first.
+def closure(edges: DataFrame, roots: DataFrame, block: int = 100_000) -> DataFrame:
+    """Nodes that roots(owner) reach over edges(owner, target), each once, however deep the graph.
 
-    Every round joins only the newest nodes; intermediate results are checkpointed.
+    Edges lie in ranges of about `block`; a round follows paths inside each range to their ends, and only nodes
+    that are new go on to the next round. It ends when there are none. Intermediate results are checkpointed.
     """
+    import pyarrow as pa
+
     from glotmill.plans.storage import settled
 
+    edges = settled(edges.select("owner", "target").distinct())
+    parts = edges.count() // block + 1
+    edges = settled(edges.repartitionByRange(parts, "owner", "target").withColumn("_b", F.spark_partition_id()))
+    owners = settled(edges.select(F.col("owner").alias("node"), F.col("_b").alias("part")).distinct())
+
+    def follow(own: pa.Table, starts: pa.Table) -> pa.Table:
+        targets: dict = {}
+        for a, b in zip(own.column("owner").to_pylist(), own.column("target").to_pylist(), strict=True):
+            targets.setdefault(a, []).append(b)
+        found, open_ = set(), starts.column("node").to_pylist()
+        while open_:
+            for t in targets.pop(open_.pop(), ()):
+                if t not in found:
+                    found.add(t)
+                    open_.append(t)
+        return pa.table({"node": pa.array(list(found), own.column("target").type)})
+
+    kind = edges.schema["target"].dataType.simpleString()
     seen = settled(roots.select(F.col("owner").alias("node")).distinct())
     new = seen
-    for _ in range(max_rounds):
-        step = edges.join(new, edges.owner == new.node).select(F.col("target").alias("node")).distinct().join(seen, "node", "left_anti")
-        new = settled(step)
-        if new.isEmpty():
-            return seen
+    while not new.isEmpty():
+        starts = settled(owners.join(new, "node").select("part", "node"))
+        touched = edges.join(starts.select(F.col("part").alias("_b")).distinct(), "_b", "left_semi")
+        step = touched.groupBy("_b").cogroup(starts.groupBy("part")).applyInArrow(follow, f"node {kind}").distinct()
+        known = seen.select(F.col("node").alias("_n"))
+        new = settled(step.join(known, step.node.eqNullSafe(known._n), "left_anti"))
         seen = settled(seen.union(new))
-    raise RuntimeError("the graph is deeper than expected")
+    return seen

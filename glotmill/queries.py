@@ -434,6 +434,13 @@ def relationship_closure(spark, sf_dir):
     return snapshots.closure(edges, spark.createDataFrame([(0,)], "owner bigint"))
 
 
+@_query()
+def relationship_closure_whole(spark, sf_dir):
+    """J9 over all rows: parts that are reachable from a part; too deep for the SQL of relationship_closure."""
+    edges = _table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("owner"), (F.col("l_orderkey") + F.col("l_linenumber") * 7).alias("target"))
+    return snapshots.closure(edges, spark.createDataFrame([(0,)], "owner bigint"))
+
+
 @_query("""SELECT o_orderkey, n_name, coalesce(abs(o_totalprice - c_acctbal) <= 1270, false) AS near FROM orders LEFT JOIN customer ON o_custkey = c_custkey LEFT JOIN nation ON n_nationkey = c_nationkey""")
 def host_geometry(spark, sf_dir):
     """Chained lookups and a tolerance."""

@@ -1,3 +1,6 @@
+import os
+
+import pytest
 from pyspark.sql import functions as F
 
 from glotmill.functions import text as T
@@ -67,3 +70,29 @@ def test_snapshots_and_grids(spark):
     merges = spark.createDataFrame([("S", 1, 1, 2, 1)], "sheet string, c0 int, r0 int, c1 int, r1 int")
     widths = spark.createDataFrame([("S", 1, 10.0), ("S", 2, 5.0)], "sheet string, col int, width double")
     assert {(r.col, r.width) for r in grids.merged_width(cells, merges, widths).collect()} == {(1, 15.0), (3, 8.43)}
+
+
+def test_deep_closure(spark):
+    pairs = [(i, i + 1) for i in range(400)] + [(400, 3), (1000, 1001), (7, 900), (900, 5)]
+    edges = spark.createDataFrame(pairs, "owner bigint, target bigint")
+    for block in (50, 100_000):
+        got = [r.node for r in snapshots.closure(edges, spark.createDataFrame([(0,)], "owner bigint"), block).collect()]
+        assert sorted(got) == [*range(401), 900]
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.001"), reason="no test tables")
+def test_closure_of_all_rows(spark):
+    from glotmill import queries
+
+    rows = spark.read.parquet("/root/testdata/sf0.001/lineitem.parquet").select("l_orderkey", "l_linenumber").collect()
+    targets = {}
+    for a, n in rows:
+        targets.setdefault(a, set()).add(a + n * 7)
+    seen, todo = {0}, [0]
+    while todo:
+        for t in targets.get(todo.pop(), ()):
+            if t not in seen:
+                seen.add(t)
+                todo.append(t)
+    got = [r.node for r in queries.QUERIES["relationship_closure_whole"](spark, "/root/testdata/sf0.001").collect()]
+    assert sorted(got) == sorted(seen)
