@@ -245,6 +245,14 @@ def row_heights(spark, sf_dir):
     return cells.withColumn("height", T.row_height(F.col("lines")).cast("double"))
 
 
+@_query()
+def row_heights_whole(spark, sf_dir):
+    """C15, C16 over all rows: wrapped lines and row height of every turn; a null text is an empty cell."""
+    lines = T.wrapped_lines(F.coalesce("text", F.lit("")), F.lit(30.0))
+    cells = _table(spark, sf_dir, "conversations").select("conv_id", "turn", lines.alias("lines"))
+    return cells.withColumn("height", T.row_height(F.col("lines")).cast("double"))
+
+
 @_query("""SELECT doc_id, (length(text) - length(regexp_replace(text, '[^\\x00-\\x7F]', '', 'g')))::INTEGER AS hits FROM documents WHERE lang = 'en' AND regexp_matches(text, '[^\\x00-\\x7F]')""")
 def residual_scan(spark, sf_dir):
     """characters that don't belong to a text's language."""
@@ -400,6 +408,13 @@ def boundary_check(spark, sf_dir):
     return _table(spark, sf_dir, "documents").where(~F.contains("text", F.lit("\t"))).select("doc_id", (T.boundaries(F.col("text")) == T.boundaries(t)).alias("kept"))
 
 
+@_query()
+def boundary_check_whole(spark, sf_dir):
+    """F16, F19 over all rows: tabs and line ends kept in order, in documents with tabs too."""
+    t = F.when(F.col("doc_id") % 4 == 0, F.replace("text", F.lit("\n"), F.lit(" "))).otherwise(F.col("text"))
+    return _table(spark, sf_dir, "documents").select("doc_id", T.boundaries(F.col("text")).eqNullSafe(T.boundaries(t)).alias("kept"))
+
+
 @_query("""SELECT l_orderkey, l_linenumber, list_filter([CASE WHEN l_discount > 0.05 THEN 'macro' END, CASE WHEN l_tax > 0.04 THEN 'formula-change' END, CASE WHEN l_returnflag = 'R' THEN 'chart' END, CASE WHEN l_quantity > 40 THEN 'comment' END], lambda x: x IS NOT NULL)::VARCHAR AS why,
   CASE WHEN l_discount > 0.05 OR l_tax > 0.04 THEN 'strict' WHEN l_returnflag = 'R' OR l_quantity > 40 THEN 'complex' ELSE 'fast' END AS mode FROM lineitem""")
 def risk_reasons(spark, sf_dir):

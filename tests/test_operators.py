@@ -96,3 +96,35 @@ def test_closure_of_all_rows(spark):
                 todo.append(t)
     got = [r.node for r in queries.QUERIES["relationship_closure_whole"](spark, "/root/testdata/sf0.001").collect()]
     assert sorted(got) == sorted(seen)
+
+
+def slow_lines(text, cap=34):
+    """Display lines of a cell, word by word."""
+    size = lambda s: sum(1 if ord(c) < 128 else 2 for c in s)
+    total = 0
+    for line in text.replace("\r\n", "\n").split("\n"):
+        words = line.split()
+        if len(words) <= 1:
+            total += max(1, -(-size(line) // cap))
+            continue
+        lines, used = 1, 0
+        for n in map(size, words):
+            if used and used + 1 + n <= cap:
+                used += 1 + n
+                continue
+            lines += max(1 if used else 0, -(-n // cap) - (0 if used else 1))
+            used = n % cap or min(n, cap)
+        total += lines
+    return total
+
+
+def test_heights_and_boundaries_of_all_rows(spark, tmp_path):
+    from glotmill import queries
+
+    made = ["", None, "one", "a line\nand a second one that is far too long for a column of width thirty", "\n\n", "x" * 80 + " y\r\nüü " + "z" * 40, "tab\there\nand there"]
+    spark.createDataFrame([(i, 0, t) for i, t in enumerate(made)], "conv_id bigint, turn int, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    spark.createDataFrame([(i, t) for i, t in enumerate([*made, "\t", "a\n\tb"])], "doc_id bigint, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.conv_id: (r.lines, r.height) for r in queries.QUERIES["row_heights_whole"](spark, str(tmp_path)).collect()}
+    assert got == {i: (n, min(409.5, n * 15.0 + 3)) for i, n in enumerate(slow_lines(t or "") for t in made)}
+    kept = {r.doc_id: r.kept for r in queries.QUERIES["boundary_check_whole"](spark, str(tmp_path)).collect()}
+    assert kept == {i: not (i % 4 == 0 and "\n" in (t or "")) for i, t in enumerate([*made, "\t", "a\n\tb"])}
