@@ -128,3 +128,16 @@ def test_heights_and_boundaries_of_all_rows(spark, tmp_path):
     assert got == {i: (n, min(409.5, n * 15.0 + 3)) for i, n in enumerate(slow_lines(t or "") for t in made)}
     kept = {r.doc_id: r.kept for r in queries.QUERIES["boundary_check_whole"](spark, str(tmp_path)).collect()}
     assert kept == {i: not (i % 4 == 0 and "\n" in (t or "")) for i, t in enumerate([*made, "\t", "a\n\tb"])}
+
+
+def test_short_and_unspaced_passages(spark):
+    import random
+
+    rng = random.Random(4)
+    made = ["".join(rng.choices("ab 日本語é😀\n", k=rng.randint(0, 60))) for _ in range(60)] + [None, "", "one two three four five six seven eight"]
+    passages = [t[i : i + n] for t in made[:20] for n in (1, 2, 3, 5, 9, 16, 17, 30) for i in (0, 7) if t[i : i + n]]
+    passages += ["", None, "two three", "wo three f", "one two three four five six seven", "not there", "日本語日本語日本語日本語日本語日本語", "二"]
+    texts = spark.createDataFrame(list(enumerate(made)), "k int, t string")
+    items = spark.createDataFrame(list(enumerate(passages)), "i int, p string")
+    got = sorted(map(tuple, glossary.contained(texts, items, "k", "t", "i", "p").collect()))
+    assert got == sorted((k, i, t.index(p) + 1) for k, t in enumerate(made) for i, p in enumerate(passages) if t is not None and p is not None and p in t)
