@@ -32,7 +32,7 @@ def shapes(text: str) -> list[float]:
     """Surface features: shares of capitals, symbols, digits and repeated words, word length, length."""
     n = max(1, len(text))
     words = text.split()
-    upper = sum(map(str.isupper, text[:: max(1, n // 2000)])) / max(1, len(text[:: max(1, n // 2000)]))
+    upper = sum(map(str.isupper, text)) / n
     letters = sum(map(len, LETTERS.findall(text)))
     return [
         upper, 1 - (letters + len(words)) / n, len(re.findall(r"\d", text)) / n, 1 - len(set(words)) / max(1, len(words)),

@@ -459,3 +459,7 @@ def test_edited_copies_are_dropped(spark, docs, rows):
     got = dict(P.STAGES)["near_copies"](spark, df, "").collect()
     assert sorted(r.doc_id for r in got) == sorted(set(root))
     assert len(P.drop_near_copies(spark, df, "").collect()) > len(set(root))
+
+
+def test_capitals_of_long_texts():
+    assert toxicity.shapes("aBcd" * 4000)[0] == 0.25 and toxicity.shapes("")[0] == 0
