@@ -6,6 +6,7 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -376,7 +377,7 @@ def test_tokenize_equals_the_tokenizer(text):
     from tokenizers import Tokenizer
 
     path = packing.default_tokenizer()
-    assert np.frombuffer(packing.tokenize([text], path)[0], "<u4").tolist() == Tokenizer.from_file(path).encode(text, add_special_tokens=False).ids
+    assert next(packing.tokenize(pa.array([text]), path)).tolist() == Tokenizer.from_file(path).encode(text, add_special_tokens=False).ids
 
 
 def test_targets_and_permutations():
@@ -463,3 +464,10 @@ def test_edited_copies_are_dropped(spark, docs, rows):
 
 def test_capitals_of_long_texts():
     assert toxicity.shapes("aBcd" * 4000)[0] == 0.25 and toxicity.shapes("")[0] == 0
+
+
+def test_line_dedup_many_repeated_rows(spark):
+    lines = "\n".join(" ".join(f"w{i}x{j}" for j in range(8)) for i in range(3)) + "\nw0x0 w0x1 w0x2 other w0x4 w0x5 w0x6 w0x7"
+    got = linededup.dedup_lines(spark.createDataFrame([(1, lines)] * 400, "doc_id bigint, text string"))
+    assert got.count() == 400
+    assert set(map(tuple, got.collect())) == {(1, lines.rsplit("\n", 1)[0], 4, 3)}
