@@ -2,30 +2,27 @@
 
 from __future__ import annotations
 
-import zlib
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from glotmill.llm.common import take
 
 UND = "und"
-#: A byte sequence that the network reads at once: a word, cut into pieces of at most so many bytes.
-MAX_BYTES = 24
-#: The training sample: at most so many documents of each language, and so many words of each language.
+#: A text's bytes are labelled in windows of so many, each read with so many more bytes of the text on either side.
+WINDOW = 256
+CONTEXT = 16
+#: The training sample: at most so many documents of each language, and so many short windows of each document.
 SAMPLE_DOCS = 200
-SAMPLE_WORDS = 8_000
-#: At most so many languages are learned (the most frequent ones).
-MAX_LANGS = 400
-#: Words whose sums a worker keeps at a time.
-CACHE = 1_000_000
-#: Characters of text whose new words the network reads together.
-BLOCK_CHARS = 2_000_000
+SAMPLE_WINDOWS = 40
+TRAIN_BYTES = 40
+#: Bytes of text that are cut into windows together, and numbers that a batch of windows may hold of each kind.
+BLOCK_BYTES = 1_000_000
+BATCH_CELLS = 4_000_000
 
 
 @dataclass
@@ -37,8 +34,17 @@ class Model:
     hidden: int
 
 
-def _sigmoid(x: np.ndarray) -> np.ndarray:
-    return 0.5 * (np.tanh(0.5 * x) + 1)
+def _squash(x: np.ndarray) -> np.ndarray:
+    """x / (1 + |x|): like tanh, but much faster. Its slope is (1 - |value|) squared."""
+    return x / (1 + np.abs(x))
+
+
+def _gate(x: np.ndarray) -> np.ndarray:
+    return 0.5 * (_squash(x) + 1)
+
+
+def _gate_slope(g: np.ndarray) -> np.ndarray:
+    return 0.5 * (1 - np.abs(2 * g - 1)) ** 2
 
 
 def _init(n_langs: int, hidden: int, embed: int, rng: np.random.Generator) -> dict[str, np.ndarray]:
@@ -60,9 +66,9 @@ def _run(w: dict, d: str, x: np.ndarray, mask: np.ndarray, hidden: int, keep: bo
     u = w[d + "U"]
     for t in steps:
         a = h @ u
-        zr = _sigmoid(x[t, :, : 2 * hidden] + a[:, : 2 * hidden])
+        zr = _gate(x[t, :, : 2 * hidden] + a[:, : 2 * hidden])
         z, r = zr[:, :hidden], zr[:, hidden:]
-        n = np.tanh(x[t, :, 2 * hidden :] + r * a[:, 2 * hidden :])
+        n = _squash(x[t, :, 2 * hidden :] + r * a[:, 2 * hidden :])
         new = n + z * (h - n)
         if keep:
             tape[t] = (h, z, r, n, a[:, 2 * hidden :])
@@ -113,9 +119,9 @@ def _backward(m: Model, words: list[bytes], target: np.ndarray) -> dict[str, np.
             dh = dboth[t, :, k * h : (k + 1) * h] + carry
             live = mask[t][:, None]
             dnew = np.where(live, dh, 0)
-            dn = dnew * (1 - z) * (1 - n * n)
-            dz = dnew * (prev - n) * z * (1 - z)
-            dr = dn * a_n * r * (1 - r)
+            dn = dnew * (1 - z) * (1 - np.abs(n)) ** 2
+            dz = dnew * (prev - n) * _gate_slope(z)
+            dr = dn * a_n * _gate_slope(r)
             dx, da = np.concatenate([dz, dr, dn], axis=1), np.concatenate([dz, dr, dn * r], axis=1)
             g[d + "W"] += e[t].T @ dx
             g[d + "b"] += dx.sum(axis=0)
@@ -126,8 +132,8 @@ def _backward(m: Model, words: list[bytes], target: np.ndarray) -> dict[str, np.
     return g
 
 
-def train(by_lang: dict[str, list[bytes]], hidden: int = 8, embed: int = 8, steps: int = 300, batch: int = 384, rate: float = 0.01, seed: int = 7) -> Model:
-    """Fit a model on words by language, each language equally often. The same input gives the same model."""
+def train(by_lang: dict[str, list[bytes]], hidden: int = 8, embed: int = 8, steps: int = 250, batch: int = 128, rate: float = 0.01, seed: int = 7) -> Model:
+    """Fit a model on byte sequences by language, each language equally often. The same input gives the same model."""
     langs = sorted(k for k, v in by_lang.items() if v)
     rng = np.random.default_rng(seed)
     m = Model(langs, _init(len(langs), hidden, embed, rng), hidden)
@@ -145,106 +151,98 @@ def train(by_lang: dict[str, list[bytes]], hidden: int = 8, embed: int = 8, step
     return m
 
 
-def pieces(text: str) -> list[bytes]:
-    """A text's words as UTF-8, long ones cut into pieces of at most MAX_BYTES bytes."""
-    words = text.encode("utf-8", "surrogatepass").split()
-    if max(map(len, words), default=0) <= MAX_BYTES:
-        return words
-    return [w[i : i + MAX_BYTES] for w in words for i in range(0, len(w), MAX_BYTES)]
-
+def windows(data: bytes) -> list[tuple[int, int, int, int]]:
+    """(lo, begin, end, hi) of each window: the bytes [begin, end) are labelled, [lo, hi) are read. Every byte is labelled once."""
+    n = len(data)
+    return [(max(0, i - CONTEXT), i, min(n, i + WINDOW), min(n, i + WINDOW + CONTEXT)) for i in range(0, n, WINDOW)]
 
-def position_probabilities(m: Model, word: bytes) -> np.ndarray:
-    """(bytes, languages): the label probabilities of every position of one piece."""
-    return _forward(m, [word])[4][:, 0]
 
-
-class _Memo(dict):
-    """Word to row number; a word that is asked for the first time gets the next row and is kept in `new`."""
-
-    def __init__(self):
-        self.new: list[bytes] = []
-
-    def __missing__(self, word: bytes) -> int:
-        self[word] = k = len(self)
-        self.new.append(word)
-        return k
+def position_probabilities(m: Model, data: bytes) -> np.ndarray:
+    """(bytes, languages): the label probabilities of every position of a text, window by window."""
+    made = [_forward(m, [data[lo:hi]])[4][begin - lo : end - lo, 0] for lo, begin, end, hi in windows(data)]
+    return np.concatenate(made) if made else np.zeros((0, len(m.langs)))
 
 
 class Labeller:
-    """Labels texts; keeps each word's probabilities, summed over its positions, in a bounded memo."""
+    """Labels texts by the sums of their positions' probabilities."""
 
     def __init__(self, m: Model):
-        self.m, self.at, self.sums = m, _Memo(), np.zeros((0, len(m.langs)))
-        self.tables = {d: (m.w["E"][:256] @ m.w[d + "W"] + m.w[d + "b"]).astype(np.float32) for d in "fb"}
-
-    def _learn(self) -> None:
-        """Sums of the words that the memo has met since the last call."""
-        base, alike = len(self.sums), {}
-        for k, word in enumerate(self.at.new, base):
-            for i in range(0, len(word), MAX_BYTES):
-                names, rows = alike.setdefault(min(MAX_BYTES, len(word) - i), ([], []))
-                names.append(word[i : i + MAX_BYTES])
-                rows.append(k)
-        more = np.zeros((len(self.at.new), self.sums.shape[1]))
-        for n, (names, rows) in alike.items():
-            for i in range(0, len(names), 2048):
-                got = np.rint(self._sums(names[i : i + 2048], n) * 4096) / 4096  # rounded: alike in any batch
-                np.add.at(more, np.array(rows[i : i + 2048]) - base, got)
-        self.sums, self.at.new = np.concatenate([self.sums, more]), []
-
-    def _sums(self, words: list[bytes], n: int) -> np.ndarray:
-        """Label probabilities summed over the n positions of words of equal length."""
-        ids, h = np.frombuffer(b"".join(words), np.uint8).reshape(-1, n), self.m.hidden
-        logits = np.empty((n, len(self.m.langs), len(words)), np.float32)
+        self.m = m
+        # Apart for the gates z and r and the new state: whole arrays are faster than columns of wider ones.
+        each = lambda x: [np.ascontiguousarray(y, np.float32) for y in np.split(x, 3, axis=1)]
+        self.tables = {d: each(np.vstack([m.w["E"][:256] @ m.w[d + "W"] + m.w[d + "b"], np.zeros((1, 3 * m.hidden))])) for d in "fb"}
+        self.loops = {d: each(m.w[d + "U"]) for d in "fb"}
+
+    def _sums(self, ids: np.ndarray, core: np.ndarray) -> np.ndarray:
+        """(windows, languages): probabilities summed over the positions in core; both (time, windows), ids 256 after a window's end."""
+        h, live = self.m.hidden, (ids < 256)[:, :, None].astype(np.float32)
+        padded = live.min(axis=(1, 2)) < 1
+        logits = np.empty((len(ids), len(self.m.langs), ids.shape[1]), np.float32)
         logits[:] = self.m.w["o"][:, None]
         for k, d in enumerate("fb"):
-            table, u, out = self.tables[d], self.m.w[d + "U"], self.m.w["O"][k * h : (k + 1) * h].T
-            state = np.zeros((len(words), h), np.float32)
-            for t in range(n) if d == "f" else range(n - 1, -1, -1):
-                x, a = table[ids[:, t]], state @ u
-                zr = x[:, : 2 * h] + a[:, : 2 * h]
-                zr *= 0.5
-                np.tanh(zr, out=zr)
-                zr *= 0.5
-                zr += 0.5
-                new = a[:, 2 * h :]
-                new *= zr[:, h:]
-                new += x[:, 2 * h :]
-                np.tanh(new, out=new)
-                state -= new
-                state *= zr[:, :h]
-                state += new
+            (tz, tr, tn), (uz, ur, un), out = self.tables[d], self.loops[d], np.ascontiguousarray(self.m.w["O"][k * h : (k + 1) * h].T)
+            state, z, r, n, a = (np.zeros((ids.shape[1], h), np.float32) for _ in range(5))
+            for t in range(len(ids)) if d == "f" else range(len(ids) - 1, -1, -1):
+                for gate, table, u in ((z, tz, uz), (r, tr, ur)):
+                    np.take(table, ids[t], axis=0, out=gate, mode="clip")
+                    np.matmul(state, u, out=a)
+                    gate += a
+                    np.abs(gate, out=a)
+                    a += 1
+                    gate /= a
+                    gate *= 0.5
+                    gate += 0.5
+                np.take(tn, ids[t], axis=0, out=n, mode="clip")
+                np.matmul(state, un, out=a)
+                a *= r
+                n += a
+                np.abs(n, out=a)
+                a += 1
+                n /= a
+                state -= n
+                state *= z
+                state += n
+                if padded[t]:
+                    state *= live[t]
                 logits[t] += out @ state.T
         logits -= logits.max(axis=1, keepdims=True)
         np.exp(logits, out=logits)
-        logits /= logits.sum(axis=1, keepdims=True)
+        logits *= (core / logits.sum(axis=1))[:, None]
         return logits.sum(axis=0, dtype=np.float64).T
 
+    def sums(self, texts: list[bytes]) -> np.ndarray:
+        """(texts, languages): probabilities summed over all positions of each text."""
+        total = np.zeros((len(texts), len(self.m.langs)))
+        flat = np.frombuffer(b"".join(texts), np.uint8)
+        cut = [(base + lo, begin - lo, end - lo, hi - lo, i) for i, (t, base) in enumerate(zip(texts, np.cumsum([0, *map(len, texts)]).tolist(), strict=False)) for lo, begin, end, hi in windows(t)]
+        cut = np.array(sorted(cut, key=lambda w: w[3]), np.int64).reshape(-1, 5)
+        at, count = 0, max(1, BATCH_CELLS // ((WINDOW + 2 * CONTEXT) * max(len(self.m.langs), self.m.hidden)))
+        while at < len(cut):
+            lo, begin, end, n, text = cut[at : at + count].T
+            time = np.arange(n[-1])[:, None]
+            ids = np.where(time < n, flat[np.minimum(lo + time, len(flat) - 1)].astype(np.intp), 256)
+            got = self._sums(ids, ((time >= begin) & (time < end)).astype(np.float32))
+            np.add.at(total, text, np.rint(got * 4096) / 4096)  # rounded: alike in any batch
+            at += count
+        return total
+
     def __call__(self, texts: list[str | None]) -> tuple[list[str], list[float]]:
-        langs, scores, at = [], [], 0
-        while at < len(texts):
-            if len(self.at) > CACHE:
-                self.at, self.sums = _Memo(), self.sums[:0]
-            find, rows, chars = self.at.__getitem__, [], 0
-            while at < len(texts) and chars < BLOCK_CHARS:
-                t, at = texts[at], at + 1
-                words = t.encode("utf-8", "surrogatepass").split() if t and self.m.langs and any(map(str.isalpha, t)) else []
-                rows.append(np.fromiter(map(find, words), np.int64, len(words)))
-                chars += len(t or "")
-            self._learn()
-            for found in rows:
-                if not len(found):
-                    langs.append(UND)
-                    scores.append(0.0)
-                    continue
-                total = self.sums[found].sum(axis=0)
+        langs, scores, some, size = [], [], [], 0
+        for i, t in enumerate(texts, 1):
+            some.append(t.encode("utf-8", "surrogatepass") if t and self.m.langs and any(map(str.isalpha, t)) else b"")
+            size += len(some[-1])
+            if size < BLOCK_BYTES and i < len(texts):
+                continue
+            for total in self.sums(some) if self.m.langs else [np.zeros(1)] * len(some):
                 k = int(total.argmax())
-                langs.append(self.m.langs[k])
-                scores.append(round(float(min(1.0, total[k] / total.sum())), 4))
+                known = total[k] > 0
+                langs.append(self.m.langs[k] if known else UND)
+                scores.append(round(float(min(1.0, total[k] / total.sum())), 4) if known else 0.0)
+            some, size = [], 0
         return langs, scores
 
 
-#: One labeller for each model in a Python worker, so that its memo serves the worker's later tasks too.
+#: The labeller of a Python worker's latest model.
 _LABELLERS: dict[bytes, Labeller] = {}
 
 
@@ -274,45 +272,49 @@ def held_out(key: Column) -> Column:
     return F.coalesce(F.crc32(key.cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
-def fit(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", sample_docs: int = SAMPLE_DOCS, sample_words: int = SAMPLE_WORDS) -> Model:
+def fit(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", sample_docs: int = SAMPLE_DOCS, sample_windows: int = SAMPLE_WINDOWS) -> Model:
     """Train on a bounded sample of the labelled documents that aren't held out.
 
-    The sample is bounded by `sample_docs` documents of each language (those with the smallest hash
-    of their id) and `sample_words` words of each language, drawn at random from those documents' whole
-    texts. Languages are counted over all documents; the MAX_LANGS most frequent are learned.
+    All languages that occur are learned. The sample is bounded by `sample_docs` documents of each language (those
+    with the smallest hash of id and text) and `sample_windows` windows of TRAIN_BYTES bytes of each, which begin
+    anywhere in the whole text. Only the windows come to the driver.
     """
     rows = take(docs, key, text, lang).toDF("id", "text", "lang")
-    rows = rows.where(~held_out(F.col("id")) & F.col("text").isNotNull() & F.col("lang").isNotNull() & F.col("id").isNotNull())
-    counts = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGS).collect()
+    rows = rows.where(~held_out(F.col("id")) & F.col("text").isNotNull() & F.col("lang").isNotNull() & F.col("id").isNotNull()).withColumn("h", F.xxhash64("id", "text"))
+    counts = rows.groupBy("lang").count().collect()
     if not counts:
         return train({})
-    # A hash threshold for each language gives about twice the rows asked for, wherever they lie.
+    # A hash threshold for each language leaves about twice the rows asked for, wherever they lie.
     share = F.create_map(*[x for r in counts for x in (F.lit(r["lang"]), F.lit(min(1.0, 2 * sample_docs / r["count"])))])
-    unit = F.pmod(F.xxhash64("id", F.lit(11)), F.lit(1 << 30)) / float(1 << 30)
-    chosen = (
-        rows.withColumn("unit", unit).where(F.col("unit") <= share[F.col("lang")])
-        .select("lang", "unit", "id", "text").orderBy("unit", "id", F.xxhash64("text")).limit(2 * sample_docs * len(counts))
-    )
-    texts: dict[str, list[str]] = {}
-    for r in chosen.toLocalIterator():
-        if len(texts.setdefault(r["lang"], [])) < sample_docs:
-            texts[r["lang"]].append(r["text"])
-    words = {}
-    for k in sorted(texts):
-        seen = Counter(w for t in texts[k] for w in pieces(t))
-        rng, names = np.random.default_rng(zlib.crc32(k.encode())), sorted(seen)
-        if names:
-            weight = np.array([seen[w] for w in names], float)
-            words[k] = [names[i] for i in rng.choice(len(names), min(sample_words, int(weight.sum())), p=weight / weight.sum())]
-    return train(words)
+    unit = F.pmod(F.xxhash64("h", F.lit(11)), F.lit(1 << 30)) / float(1 << 30)
+    few = rows.select("lang", "h", unit.alias("unit")).where(F.col("unit") <= share[F.col("lang")]).distinct()
+    order = Window.partitionBy("lang").orderBy("unit", "h")
+    chosen = few.withColumn("no", F.row_number().over(order)).where(F.col("no") <= sample_docs).select("lang", "h")
+
+    @F.pandas_udf("array<binary>")
+    def cut(texts: pd.Series, seeds: pd.Series) -> pd.Series:
+        out = []
+        for t, seed in zip(texts, seeds, strict=True):
+            data = t.encode("utf-8", "surrogatepass") if any(map(str.isalpha, t)) else b""
+            last = max(0, len(data) - TRAIN_BYTES)
+            starts = np.random.default_rng(abs(seed)).integers(0, last + 1, sample_windows if last else 1)
+            out.append([data[i : i + TRAIN_BYTES] for i in starts.tolist() if data])
+        return pd.Series(out)
+
+    # At most sample_docs rows of a hash for each language: broadcast. Repeated rows count once.
+    got = rows.join(F.broadcast(chosen), ["lang", "h"], "left_semi").dropDuplicates(["lang", "h"]).select("lang", "h", cut("text", "h").alias("w"))
+    by_lang: dict[str, list[bytes]] = {}
+    for r in sorted(got.collect(), key=lambda r: (r["lang"], r["h"])):
+        by_lang.setdefault(r["lang"], []).extend(map(bytes, r["w"]))
+    return train(by_lang)
 
 
 def identify(docs: DataFrame, model: Model | None = None, key: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:
     """One row for each row of docs: key, held_out, lang_pred, score. Trains a model on docs if none is given.
 
-    Every byte of a text is a position that the network labels; its state runs both ways over a word
-    (at most MAX_BYTES bytes), and a document's probability is the mean over all its positions. So
-    equal words share their work, and memory doesn't depend on a text's length beyond the text.
+    Every byte of a text is a position that the network labels, and a document's probability is the mean over all its
+    positions. The state runs both ways over a window of the text (WINDOW bytes and CONTEXT more on either side), so
+    memory doesn't depend on a text's length beyond the text.
     lang_pred is `und` with score 0 if the text is null or has no letter, or if nothing could be
     learned (no labelled text, or an empty table). With one language learned, it is the answer with score 1.
     Null keys count as not held out but aren't trained on; repeated rows give repeated results. Extra columns are ignored.
