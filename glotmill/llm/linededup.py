@@ -14,7 +14,11 @@ BLOCK = 512
 
 
 def _words(line: Column) -> Column:
-    return F.array_remove(F.split(line, r"[\x20\x09-\x0D]+"), "")
+    """A line's words. Lines whose only white space is the blank, nearly all, are split without a pattern."""
+    other = F.lit(False)
+    for c in "\t\v\f\r\n":
+        other = other | F.contains(line, F.lit(c))
+    return F.array_remove(F.when(other, F.split(line, r"[\x20\x09-\x0D]+")).otherwise(F.split(line, " ")), "")
 
 
 def _running_xor(values: Column) -> Column:
@@ -70,7 +74,8 @@ def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", column
     the line with each word replaced by a wildcard, with each word deleted, and as it is. Equal keys join to
     the earliest line of the bucket (one row for each variant, never all pairs), the edit distance
     to the line's earliest match is verified on the words, and its occurrences go. Hot lines and keys
-    are pre-aggregated and split by Spark's skew join. Keys are wrong only where two 64-bit hashes collide.
+    are pre-aggregated and split by Spark's skew join. A line goes only if its 128-bit hash says so; where two lines
+    share its first 64 bits, near ones of one of them may be missed.
     """
     columns = columns or (key, text)
     docs = take(docs, *dict.fromkeys((*columns, key, text)))
@@ -80,12 +85,14 @@ def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", column
     ten = F.lit("10000000000").cast("decimal(11,0)")
     last = F.lit("9" * 19).cast("decimal(19,0)")
     place = (F.coalesce(F.col("doc").cast("decimal(19,0)"), last) * ten + F.col("no")).cast("decimal(32,0)")
-    h1, h2 = F.xxhash64("w"), F.xxhash64(F.lit(1), "w")
+    # The halves' hashes are of the words' hashes, so that each word's letters are read three times in all.
+    lines = lines.withColumn("v", F.transform("w", lambda x: F.xxhash64(x)))
+    h1, h2 = F.xxhash64("v"), F.xxhash64(F.lit(1), "w")
     n = F.size("w")
 
     def halves(size: Column) -> list[Column]:
         cut = (size / 2).cast("int")
-        return [F.xxhash64(F.lit("a"), size, F.slice("w", F.lit(1), cut)), F.xxhash64(F.lit("z"), size, F.slice("w", n - (size - cut) + 1, size - cut))]
+        return [F.xxhash64(F.lit(0), size, F.slice("v", F.lit(1), cut)), F.xxhash64(F.lit(1), size, F.slice("v", n - (size - cut) + 1, size - cut))]
 
     meets = F.when(n >= LEAST_WORDS, F.array(*halves(n), *halves(n - 1))).when(n == LEAST_WORDS - 1, F.array(*halves(n)))
     scratch = Scratch(docs.sparkSession)
@@ -100,12 +107,14 @@ def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", column
     half = first.select("h1", F.explode(F.array_compact(F.array("m0", "m1", "m2", "m3"))).alias("key"))
     shared = half.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
     meeting = half.join(shared, "key", "left_semi").select("h1").distinct()
-    chosen = first.select("h1", "_row", "no", "place").dropDuplicates(["h1"]).join(meeting, "h1", "left_semi")
+    chosen = first.select("h1", "h2", "_row", "no", "place").dropDuplicates(["h1"]).join(meeting, "h1", "left_semi")
 
     # Their words, from the documents that hold them first.
-    by_row = chosen.groupBy("_row").agg(F.collect_list(F.struct("no", "h1", "place")).alias("want"))
+    by_row = chosen.groupBy("_row").agg(F.collect_list(F.struct("no", "h1", "h2", "place")).alias("want"))
     texts = whole.select("_row", text).join(by_row, "_row").select(F.split(text, "\n").alias("all"), F.explode("want").alias("x"))
-    near = scratch.keep(texts.select("x.h1", "x.place", _words(F.get("all", "x.no")).alias("w")), "near")
+    # Repeated rows bring a line as often as they are; once is enough.
+    near = texts.select("x.h1", "x.h2", "x.place", F.get("all", "x.no").alias("line")).dropDuplicates(["h1"])
+    near = scratch.keep(near.select("h1", "h2", "place", _words(F.col("line")).alias("w")), "near")
     at = F.transform("w", lambda w, i: F.xxhash64(w, i))
     before = F.transform("w", lambda w, i: F.xxhash64(w, i - 1))
     stored, near = near, near.withColumns({"at": at, "before": before})
@@ -138,12 +147,12 @@ def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", column
     as_is = (F.col("role") == 0) & (F.col("d") == 1)
     met = met.select("h1", "place", F.when(as_is, F.col("p1")).otherwise(F.col("p0")).alias("p"), F.when(as_is, F.col("b1")).otherwise(F.col("b0")).alias("b"))
     pairs = met.where("p < place").groupBy("h1").agg(F.min_by("b", "p").alias("b"))
-    words = stored.select("h1", "w")
+    words = stored.select("h1", "h2", "w")
     other = stored.select(F.col("h1").alias("b"), F.col("w").alias("v"))
-    gone = pairs.join(words, "h1").join(other, "b").where(_one_edit(F.col("w"), F.col("v"))).select("h1", F.lit(True).alias("near")).distinct()
+    gone = pairs.join(words, "h1").join(other, "b").where(_one_edit(F.col("w"), F.col("v"))).select("h1", "h2", F.lit(True).alias("near"))
 
     # Back to the occurrences, and from their documents' texts.
-    decided = first.select("h1", "h2", F.col("place").alias("first_place")).join(gone, "h1", "left")
+    decided = first.select("h1", "h2", F.col("place").alias("first_place")).join(gone, ["h1", "h2"], "left")
     drop = seen.select("_row", "no", "place", "h1", "h2").join(decided, ["h1", "h2"]).where(F.col("near") | (F.col("place") > F.col("first_place")))
     lost = scratch.keep(drop.groupBy("_row").agg(F.collect_set("no").alias("lost")), "lost")
     scratch.free("seen", "first", "near", "equal")
