@@ -20,6 +20,8 @@ WEIGHTS = (5, 2, 1)
 MOST = 3
 #: Slots (blocks) of an output shard.
 SHARD = 1 << 16
+#: At most so many output shards are drawn for, on the driver.
+MAX_SHARDS = 4_096
 #: At most so many sources; their sizes come to the driver.
 MAX_SOURCES = 100_000
 #: Documents of a source are laid end to end in groups of about this many.
@@ -92,37 +94,38 @@ class Slots:
             n.append(count)
             last.append(partial)
         self.n, self.last = np.array(n, np.int64), np.array(last, np.int64)
-        self.ends = np.cumsum(self.n)
-        self.total = int(self.n.sum())
-        # Each shard's counts are a multinomial draw by what the sources have left, so that the sum is exact.
-        rng, left, draws = np.random.default_rng(seed), self.n.copy(), []
-        for _ in range(-(-self.total // shard)):
-            size = min(shard, int(left.sum()))
-            drawn = np.zeros_like(left)
+
+    def draws(self) -> pd.DataFrame:
+        """The blocks that each shard draws: sid, out_shard, first (number of a source's slot) and count.
+
+        A shard's counts are a multinomial draw by what the sources have left to give, so that in the end each
+        source has given what it is to give. There are at most MAX_SHARDS shards; beyond that they are larger.
+        """
+        rng, given, total, out = np.random.default_rng(self.seed), np.zeros_like(self.n), int(self.n.sum()), []
+        shard = max(self.shard, -(-total // MAX_SHARDS))
+        for number in range(-(-total // shard)):
+            left = self.n - given
+            size, drawn = min(shard, int(left.sum())), np.zeros_like(left)
             while size > drawn.sum():
                 room = left - drawn
                 drawn += np.minimum(room, rng.multinomial(size - int(drawn.sum()), room / room.sum()))
-            draws.append(drawn)
-            left = left - drawn
-        self.drawn = np.cumsum(draws, axis=0) if draws else np.zeros((0, len(n)), np.int64)
+            at = np.flatnonzero(drawn)
+            out.append(pd.DataFrame({"sid": at, "out_shard": number, "first": given[at], "count": drawn[at]}))
+            given += drawn
+        return pd.concat(out) if out else pd.DataFrame({"sid": [], "out_shard": [], "first": [], "count": []}, dtype="int64")
 
     def _key(self, source: int, epoch: int) -> int:
         return self.seed * 1_000_003 + source * MOST + epoch + 1
 
-    def of(self, slots: np.ndarray) -> pd.DataFrame:
-        """source, epoch, idx (block), words and out_shard of the slots with the given numbers."""
-        source = np.searchsorted(self.ends, slots, "right")
-        j = slots - (self.ends - self.n)[source]
-        epoch, index = j // self.blocks[source], j % self.blocks[source]
-        idx, shards = np.zeros_like(j), np.zeros_like(j)
+    def of(self, source: np.ndarray, j: np.ndarray) -> dict[str, np.ndarray]:
+        """epoch, idx (block) and words of the j-th slots of sources."""
+        epoch, index, idx = j // self.blocks[source], j % self.blocks[source], np.zeros_like(j)
         for s in np.unique(source):
             at = source == s
-            shards[at] = np.searchsorted(self.drawn[:, s], j[at], "right")
             for e in np.unique(epoch[at]):
                 here = at & (epoch == e)
                 idx[here] = permute(index[here], int(self.blocks[s]), self._key(int(s), int(e)))
-        words = np.where(j == self.n[source] - 1, self.last[source], self.block)
-        return pd.DataFrame({"sid": source, "epoch": epoch, "idx": idx, "words": words, "out_shard": shards})
+        return {"epoch": epoch, "idx": idx, "words": np.where(j == self.n[source] - 1, self.last[source], self.block)}
 
 
 class Mix:
@@ -135,9 +138,9 @@ class Mix:
     Each source's documents, in pseudorandom groups and then by key, form a stream that is cut into blocks of `block`
     words. A source whose target is t words gives its whole stream as often as it fits into t, and then the
     blocks that a keyed permutation of their indices puts first, the last one in part, so that it
-    gives t words to the word. All slots go to output shards by multinomial draws. Slots and pieces of
-    documents join on (source, block), which no source or document makes hot. Only source totals come to
-    the driver; a long source is laid out in groups, whose lengths are summed before.
+    gives t words to the word. Each output shard draws how many blocks it takes of each source (Slots.draws); only drawn
+    blocks are taken. Slots and pieces of documents join on (source, block), which no source or document makes hot. Only
+    source totals come to the driver; a long source is laid out in groups, whose lengths are summed before.
     """
 
     def __init__(self, docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", block: int = BLOCK, weights: Sequence[float] = WEIGHTS, seed: int = 1, shard: int = SHARD, mark: Sequence[str] = ()):
@@ -170,9 +173,15 @@ class Mix:
             "sid", "start", end.alias("end"), F.explode(F.sequence((F.col("start") / block).cast("long"), ((end - 1) / block).cast("long"))).alias("idx")
         )
         slots = self.slots
-        made = spark.range(slots.total).mapInPandas(
-            lambda frames: (slots.of(f["id"].to_numpy(np.int64)) for f in frames if len(f)), "sid int, epoch long, idx long, words long, out_shard long"
-        )
+        #: What each shard draws of each source.
+        self.draws = spark.createDataFrame(slots.draws(), "sid int, out_shard long, first long, count long")
+        drawn = self.draws.select("sid", "out_shard", F.explode(F.sequence("first", F.col("first") + F.col("count") - 1)).alias("j"))
+
+        def place(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for f in frames:
+                yield pd.DataFrame({"sid": f["sid"], "out_shard": f["out_shard"]} | slots.of(f["sid"].to_numpy(np.int64), f["j"].to_numpy(np.int64)))
+
+        made = drawn.mapInPandas(place, "sid int, out_shard long, epoch long, idx long, words long")
         first = F.greatest(F.col("idx") * block, "start")
         until = F.least(F.col("idx") * block + F.col("words"), "end")
         #: sid, start (of a document), epoch, out_shard, and the document's words [lo, hi) that a slot takes.
@@ -193,16 +202,16 @@ def mix_sizes(docs: DataFrame, key: str = "doc_id", text: str = "text", source:
     return Mix(docs, key, text, source, **more).taken().withColumnRenamed("k", key)
 
 
-def mix_documents(docs: DataFrame, columns: tuple[str, ...], key: str = "doc_id", text: str = "text", source: str = "source", **more: object) -> DataFrame:
-    """The mixed documents with the given columns: one row for each round in which words of a document are taken.
+def mix_documents(docs: DataFrame, columns: tuple[str, ...], key: str = "doc_id", text: str = "text", source: str = "source", shard_column: str | None = None, **more: object) -> DataFrame:
+    """The mixed documents with the given columns: one row for each shard and round that takes words of a document.
 
-    A round that takes all words gives the text as it is; a round that takes some gives, in order, the runs
-    of text that hold them, joined by line ends. Documents of which nothing is taken give no row. Rows that
+    With `shard_column` the shard's number follows. A row that takes all words gives the text as it is; one that takes
+    some gives, in order, the runs of text that hold them, joined by line ends. Documents of which nothing is taken give no row. Rows that
     agree in all columns are alike. See Mix for the rest.
     """
     rows = take(docs, *columns)
     mix = Mix(rows, key, text, source, mark=columns, **more)
-    rounds = mix.parts.groupBy("sid", "start", "epoch").agg(F.sort_array(F.collect_list(F.struct("lo", "hi"))).alias("spans"))
+    rounds = mix.parts.groupBy("sid", "start", "epoch", "out_shard").agg(F.sort_array(F.collect_list(F.struct("lo", "hi"))).alias("spans"))
     rounds = rounds.join(mix.located.where("size > 0").select("sid", "start", "h", "size"), ["sid", "start"])
     names = list(dict.fromkeys((key, text, source, *columns)))
     texts = rows.withColumn("_h", F.xxhash64(*names)).dropDuplicates(["_h"])
@@ -213,7 +222,12 @@ def mix_documents(docs: DataFrame, columns: tuple[str, ...], key: str = "doc_id"
             yield pd.Series([excerpt(t, [(x["lo"], x["hi"]) for x in s], n) for t, s, n in zip(texts_, spans, sizes, strict=True)])
 
     out = texts.join(rounds, texts["_h"] == rounds["h"])
-    return out.withColumn("_new", chosen(F.col(text), "spans", "size")).select(*[F.col("_new").alias(c) if c == text else F.col(c) for c in columns])
+    return out.withColumn("_new", chosen(F.col(text), "spans", "size")).select(*[F.col("_new").alias(c) if c == text else F.col(c) for c in columns], *([F.col("out_shard").alias(shard_column)] if shard_column else []))
+
+
+def write_mix(docs: DataFrame, columns: tuple[str, ...], path: str, **more: object) -> None:
+    """Write the mixed documents as Parquet, a folder `out_shard=<number>` for each output shard. See mix_documents()."""
+    mix_documents(docs, columns, shard_column="out_shard", **more).write.partitionBy("out_shard").parquet(path)
 
 
 def excerpt(text: str, spans: list[tuple[int, int]], size: int) -> str:
