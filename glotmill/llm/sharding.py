@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import json
 import uuid
+from collections.abc import Iterator
+from functools import reduce
 from itertools import groupby
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -28,15 +30,16 @@ class ShardStore:
     """A folder of immutable Parquet shards and a log of versions.
 
     `log/<n>.json` is version n: it names the tables of shards that it adds and removes. The file is
-    created exclusively, so of two writers of a version one gets Conflict, and it ends with a mark
-    without which readers ignore it. Shards become visible only by a version, so a job that dies
+    written whole and renamed to where nothing may be, so of two writers of a version one gets Conflict. An
+    append then takes the next version; a merge, which counts on the version that it was planned on, is
+    planned anew. Shards become visible only by a version, so a job that dies
     leaves unreferenced files and no half state; rerunning it is safe. All data is read and written by
     DataFrame jobs; nothing is shuffled but rows of the manifest.
     """
 
     def __init__(self, spark: SparkSession, root: str | None = None):
         self.spark, self.root = spark, root or f"{shared_dir(spark)}/shards-{uuid.uuid4().hex}"
-        self.jvm = spark.sparkContext._jvm
+        self.jvm, self.vacuumed = spark.sparkContext._jvm, 0
         self.fs = self._path(self.root).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
     def _path(self, *parts: str):
@@ -59,35 +62,59 @@ class ShardStore:
             out.append(json.loads(text))
 
     def commit(self, version: int, **what: object) -> None:
-        """Make `version` visible, or raise Conflict if it exists."""
-        path = self._path(self.root, "log", f"{version:012d}.json")
+        """Make `version` visible, or raise Conflict if it exists.
+
+        The entry is written under another name and renamed where nothing is, so that none is ever seen in part.
+        """
+        path, new = self._path(self.root, "log", f"{version:012d}.json"), self._path(self.root, "log", f"_{uuid.uuid4().hex}")
         if self.fs.exists(path):
             raise Conflict(f"version {version} exists")
+        stream = self.fs.create(new, False)
+        try:
+            stream.write(bytearray((json.dumps({"version": version} | what) + "\n").encode()))
+        finally:
+            stream.close()
+        sc = self.spark.sparkContext
+        files = self.jvm.org.apache.hadoop.fs.FileContext.getFileContext(self.fs.getUri(), sc._jsc.hadoopConfiguration())
+        rename = getattr(self.jvm.org.apache.hadoop.fs, "Options$Rename")
+        how = sc._gateway.new_array(rename, 1)
+        how[0] = rename.NONE
         try:
-            stream = self.fs.create(path, False)
+            files.rename(new, path, how)
         except Exception as e:
+            self.fs.delete(new, False)
             if "AlreadyExists" in str(e):
                 raise Conflict(f"version {version} exists") from e
             raise
-        try:
-            stream.write(bytearray((json.dumps({"version": version} | what) + "\n").encode()))
-        finally:
-            stream.close()
+
+    def _add(self, **what: object) -> int:
+        """Commit an entry that stands beside any other as the next free version; returns that."""
+        version = len(self.versions()) + 1
+        while True:
+            try:
+                self.commit(version, **what)
+                return version
+            except Conflict:
+                version += 1
 
     def live(self, version: int | None = None) -> DataFrame:
         """The manifest: one row (ENTRY) for each shard of a version, the latest by default."""
-        log = self.versions()[:version]
+        return self._live(self.versions()[:version])
+
+    def _live(self, log: list[dict]) -> DataFrame:
         removed = [x["removed"] for x in log if x.get("removed")]
-        read = self.spark.read.schema(ENTRY)
-        shards = None
+        parts: dict[str, list] = {}
         for x in log:
             if x.get("added"):
-                part = read.parquet(x["added"])
-                part = part if x.get("arrival") is None else part.where(F.col("arrival") == x["arrival"])
-                shards = part if shards is None else shards.union(part)
-        if shards is None:
+                parts.setdefault(x["added"], []).append(x.get("arrival"))
+        read = self.spark.read.schema(ENTRY)
+        whole = [path for path, arrivals in parts.items() if None in arrivals]
+        shards = [read.parquet(*whole)] if whole else []
+        shards += [read.parquet(path).where(F.col("arrival").isin(arrivals)) for path, arrivals in parts.items() if None not in arrivals]
+        if not shards:
             return self.spark.createDataFrame([], ENTRY)
-        return shards.join(self.spark.read.parquet(*removed).select("shard"), "shard", "left_anti") if removed else shards
+        out = reduce(DataFrame.union, shards)
+        return out.join(self.spark.read.parquet(*removed).select("shard"), "shard", "left_anti") if removed else out
 
     def rows(self, version: int | None = None) -> DataFrame:
         """All rows of a version, with `_shard`."""
@@ -114,28 +141,24 @@ class ShardStore:
         Rows go where they are, without a shuffle.
         """
         folder = f"{self.root}/data/{uuid.uuid4().hex}"
-        version = len(self.versions())
         if arrival is None:
             df.write.parquet(folder)
-            added = self._describe(folder)
-            self.commit(version + 1, added=added)
-            return version + 1
+            return self._add(added=self._describe(folder))
         df.withColumnRenamed(arrival, "_arrival").write.partitionBy("_arrival").parquet(folder)
         if not self.spark.read.option("recursiveFileLookup", "true").schema("_x int").parquet(folder).inputFiles():
-            return version
+            return len(self.versions())
         added = self._describe(folder)
         for r in self.spark.read.parquet(added).select("arrival").distinct().orderBy("arrival").collect():
-            version += 1
-            self.commit(version, added=added, arrival=r["arrival"])
+            version = self._add(added=added, arrival=r["arrival"])
         return version
 
-    def plan(self, target: int = TARGET, fan_in: int = FAN_IN, rest: bool = False) -> DataFrame:
-        """Shards to merge: run (id of the file that they become), shard, rows, digest.
+    def plan(self, target: int = TARGET, fan_in: int = FAN_IN, rest: bool = False, version: int | None = None) -> DataFrame:
+        """Shards of a version to merge: run (id of the file that they become), shard, rows, digest.
 
         Shards below the target meet others of their tier, in order of size, and are cut into runs of
         about the target size; a run needs fan_in shards or the full target size, with `rest` two.
         """
-        live = self.live().where(F.col("bytes") < target)
+        live = self.live(version).where(F.col("bytes") < target)
         tier = F.greatest(F.lit(0), F.ceil(F.log(float(fan_in), F.col("bytes") / float(SMALLEST)))).cast("int")
         slots = max(1, live.count() // 20_000)
         live = live.withColumns({"tier": F.lit(0) if rest else tier, "slot": F.pmod(F.xxhash64("shard"), F.lit(slots))})
@@ -146,8 +169,8 @@ class ShardStore:
         due = (F.col("n") >= (2 if rest else fan_in)) | ((F.col("b") >= target) & (F.col("n") > 1))
         return live.join(runs.where(due).select("run"), "run").select("run", "shard", "rows", "digest")
 
-    def _merge(self, runs: list[list], columns) -> None:
-        """Write each run as one file, check rows and digests, commit, in one version."""
+    def _merge(self, runs: list[list], columns, base: int) -> None:
+        """Write each run as one file, check rows and digests, and commit version base + 1; Conflict if another did."""
         folder = f"{self.root}/data/{uuid.uuid4().hex}"
         out = None
         for run in runs:
@@ -161,7 +184,7 @@ class ShardStore:
             raise RuntimeError("a merged shard differs from its parts")
         removed = f"{self.root}/manifests/{uuid.uuid4().hex}"
         self.spark.createDataFrame([(r["shard"],) for r in gone], "shard string").coalesce(1).write.parquet(removed)
-        self.commit(len(self.versions()) + 1, added=added, removed=removed)
+        self.commit(base + 1, added=added, removed=removed)
 
     def compact(self, target: int = TARGET, fan_in: int = FAN_IN, keep: bool = False) -> int:
         """Merge tier by tier until no tier has fan_in small shards, then the small rest; returns the version.
@@ -173,19 +196,17 @@ class ShardStore:
         columns = None
         for rest in (False, True):
             while True:
-                plan = self.plan(target, fan_in, rest).orderBy("run")
-                runs: list[list] = []
-                done = 0
-                for _, group in groupby(plan.toLocalIterator(), key=lambda r: r["run"]):
-                    run = [*group]
-                    columns = columns or self.spark.read.parquet(run[0]["shard"]).schema
-                    runs.append(run)
-                    done += 1
-                    if len(runs) == RUNS_PER_JOB:
-                        self._merge(runs, columns)
-                        runs = []
-                if runs:
-                    self._merge(runs, columns)
+                base = len(self.versions())
+                plan = self.plan(target, fan_in, rest, base).orderBy("run")
+                done, last = 0, base
+                try:
+                    for runs in _some(plan):
+                        columns = columns or self.spark.read.parquet(runs[0][0]["shard"]).schema
+                        self._merge(runs, columns, last)
+                        last += 1
+                        done += len(runs)
+                except Conflict:
+                    continue
                 if not keep:
                     self.vacuum()
                 if not done or rest:
@@ -195,9 +216,22 @@ class ShardStore:
     def vacuum(self) -> None:
         """Delete files of shards that the latest version doesn't have. Earlier versions can't be read afterwards."""
         removed = [x["removed"] for x in self.versions() if x.get("removed")]
-        for path in removed[-1000:]:
+        for path in removed[self.vacuumed :]:
             for r in self.spark.read.parquet(path).toLocalIterator():
                 self.fs.delete(self._path(r["shard"]), False)
+        self.vacuumed = len(removed)
+
+
+def _some(plan: DataFrame) -> Iterator[list[list]]:
+    """A plan's runs, RUNS_PER_JOB at a time."""
+    runs: list[list] = []
+    for _, group in groupby(plan.toLocalIterator(), key=lambda r: r["run"]):
+        runs.append([*group])
+        if len(runs) == RUNS_PER_JOB:
+            yield runs
+            runs = []
+    if runs:
+        yield runs
 
 
 def shard(docs: DataFrame, arrivals: int = 8, key: str = "doc_id", text: str = "text", target: int = TARGET, root: str | None = None) -> ShardStore | None:

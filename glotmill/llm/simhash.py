@@ -1,8 +1,9 @@
-"""SimHash near-duplicates: one-wildcard segment variants, equality joins, verification, components."""
+"""SimHash near-duplicates: one-wildcard variants of few segments, equality joins, verification, components."""
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import combinations
 
 import numpy as np
 import pandas as pd
@@ -15,6 +16,10 @@ from glotmill.llm.graph import components
 SHINGLE = 4
 MAX_BITS = 4
 SEED = 42
+#: Keys that a task makes, about: bounds the memory of a task.
+TASK_KEYS = 1 << 20
+#: Tasks that a large component's fingerprints are dealt over.
+SALTS = 32
 #: Shingles hashed at a time, which bounds the memory a very long text takes.
 BLOCK = 1 << 16
 
@@ -59,62 +64,102 @@ def fingerprint(text: Column | str, shingle: int = SHINGLE, seed: int = SEED) ->
     return run(text)
 
 
-def _segments(max_bits: int) -> list[tuple[int, int]]:
-    """(lowest bit, width) of segments so few that, of max_bits differing bits, one segment has at most one."""
-    n = max_bits // 2 + 1
-    cuts = [64 * i // n for i in range(n + 1)]
-    return [(a, b - a) for a, b in zip(cuts, cuts[1:], strict=False)]
+def _masks(fields: int, together: int) -> list[int]:
+    """Of 64 bits cut into `fields` fields, the masks of all choices of `together` fields."""
+    cuts = [64 * i // fields for i in range(fields + 1)]
+    each = [(1 << b) - (1 << a) for a, b in zip(cuts, cuts[1:], strict=False)]
+    return [sum(c) for c in combinations(each, together)]
 
 
-def _field(low: int, width: int) -> Column:
-    return F.shiftrightunsigned("fp", low).bitwiseAND(F.lit((1 << width) - 1 if width < 64 else -1))
+def _wildcards(masks: list[int]) -> list[int]:
+    """Each mask as often as it has bits, every time without one of them."""
+    return [m ^ 1 << i for m in masks for i in range(64) if m >> i & 1]
 
 
-def _apart(a: str, b: str) -> Column:
-    return F.bit_count(F.col(a).bitwiseXOR(F.col(b)))
+def _signed(x: int) -> int:
+    x &= (1 << 64) - 1
+    return x - (1 << 64) if x >> 63 else x
 
 
-def link(prints: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
+def _keys(rows: DataFrame, masks: list[int]) -> DataFrame:
+    """rows(fp, ...) once for each mask, with `key`: what the mask leaves of fp, xored with a number of the mask's own.
+
+    Keys of one mask are equal if and only if the masked bits are; those of two masks hardly ever are,
+    and links are verified anyway. The masks are one constant, so that the rows are made in compiled code.
+    """
+    table = F.array(*[F.struct(F.lit(_signed(m)).alias("m"), F.lit(_signed((i + 1) * 0x9E3779B97F4A7C15)).alias("c")) for i, m in enumerate(masks)])
+    made = rows.withColumn("_v", F.explode(table))
+    return made.select(*rows.columns, F.col("fp").bitwiseAND(F.col("_v.m")).bitwiseXOR(F.col("_v.c")).alias("key"))
+
+
+def _dealt(rows: DataFrame, n: int, masks: list[int]) -> DataFrame:
+    """rows in so many partitions by fp that each makes about TASK_KEYS keys."""
+    return rows.repartition(max(1, -(-n * len(masks) // TASK_KEYS)), "fp")
+
+
+def _joined(a: DataFrame, b: DataFrame) -> DataFrame:
+    """a and b joined on key by sorting: Spark thinks rows that keys multiply small, and would broadcast them."""
+    return a.join(b.hint("merge"), "key")
+
+
+def _ends(rows: DataFrame) -> DataFrame:
+    """Of rows(key, fp, label), those whose key has several labels, with an array `e` of the members of its least and largest label."""
+    mine = F.struct("label", "fp")
+    ends = rows.groupBy("key").agg(F.min(mine).alias("lo"), F.max(mine).alias("hi")).where("lo.label < hi.label")
+    return _joined(rows, ends.select("key", F.array("lo", "hi").alias("e")))
+
+
+def _stars(met: DataFrame, max_bits: int) -> DataFrame:
+    """Links (a, b) between labels that met(fp, label, e) verifies."""
+    star = met.select("fp", "label", F.explode("e").alias("e")).where((F.col("label") != F.col("e.label")) & (F.bit_count(F.col("fp").bitwiseXOR(F.col("e.fp"))) <= max_bits))
+    return star.select(F.greatest("label", "e.label").alias("a"), F.least("label", "e.label").alias("b")).distinct()
+
+
+def link(prints: DataFrame, max_bits: int = MAX_BITS, segments: int | None = None) -> DataFrame:
     """(fp, root) for every distinct fingerprint of prints(fp): root is its component's smallest one.
 
-    Two fingerprints link if they differ in at most max_bits bits. Exact, in two phases:
-    1. Fingerprints meet the smallest one that agrees with them in two of four 16-bit fields, and the
-       verified links are contracted. This emits at most six rows for each fingerprint and shrinks dense
-       groups to one label without listing their pairs.
-    2. Cut into max_bits // 2 + 1 segments, any linked pair has a segment with at most one differing bit,
-       so the two share a variant of it with that bit as a wildcard. Variants are joined by equality, only in
-       buckets that hold several labels, only between members with different labels, at least one
-       of which isn't the bucket's largest label; the distance is verified inside the join.
+    Two fingerprints link if they differ in at most max_bits bits. Exact, in four steps:
+    1. Fingerprints meet the smallest and the largest one that agrees with them in two of four 16-bit fields, and the
+       verified links are contracted, so that dense groups shrink to one label without a list of their pairs.
+    2. Cut into max_bits + 4 fields, linked fingerprints agree in four fields at least. Those that share no choice
+       of four fields with another label have no further link and are done. The others meet members of the
+       least and the largest label of each choice, and are contracted likewise.
+    3. Fingerprints that still share a choice with another label are cut into `segments`
+       segments (by default max_bits + 1); linked ones have segments - max_bits + 1 of them that together differ in at most
+       one bit, so they share a deletion variant: such a choice of segments without one of its bits.
+       Variants are joined by equality, only in buckets that hold several labels, only between members with
+       different labels, at least one of which isn't the bucket's most common label; the distance is verified.
+    4. Components of all steps' links.
+    A choice of four fields has 32 bits, one of two out of five segments 25 or 26, so that unrelated fingerprints seldom
+    meet. For far more fingerprints than 2**26, more segments give longer keys (six: 32 bits) and more variants.
     """
     prints = cut(take(prints, "fp").dropna().distinct())
-    pairs = [F.lit(k << 32).cast("long") + _field(16 * i, 16) * 65536 + _field(16 * j, 16) for k, (i, j) in enumerate(((0, 1), (0, 2), (0, 3), (1, 2), (1, 3), (2, 3)))]
-    met = prints.select("fp", F.explode(F.array(*pairs)).alias("key"))
-    low = met.groupBy("key").agg(F.min("fp").alias("low"), F.max("fp").alias("high")).where("low < high").drop("high")
-    stars = met.join(low, "key").where((F.col("fp") > F.col("low")) & (_apart("fp", "low") <= max_bits))
-    near = components(stars.select(F.col("fp").alias("a"), F.col("low").alias("b")).distinct())
-    label = F.coalesce("root", "fp")
-    named = prints.join(near, prints.fp == near.node, "left").select("fp", label.alias("label"))
-    sizes = named.groupBy("label").agg(F.count("*").alias("n")).where("n > 1")
-    named = cut(named.join(sizes, "label", "left").select("fp", "label", F.coalesce("n", F.lit(1)).alias("n")))
-
-    variants = []
-    for a, width in _segments(max_bits):
-        for p in range(a, a + width):
-            rest = _field(a, width).bitwiseAND(F.lit(~(1 << (p - a)) & ((1 << width) - 1)))
-            variants.append(F.lit(p << 32).cast("long") + rest)
-    spread = named.select("fp", "label", "n", F.explode(F.array(*variants)).alias("key"))
-    mixed = (
-        spread.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.max_by("label", "n").alias("major"))
+    n = prints.count()
+    coarse, fields = _masks(4, 2), _masks(max_bits + 4, 4)
+    near = components(_stars(_ends(_keys(_dealt(prints, n, coarse), coarse).withColumn("label", F.col("fp"))), max_bits))
+    named = cut(prints.join(near, prints.fp == near.node, "left").select("fp", F.coalesce("root", "fp").alias("label")))
+    some = cut(_ends(_keys(_dealt(named, n, fields), fields)))
+    more = components(_stars(some, max_bits).union(near.select("node", "root")))
+    named = some.select("key", "fp", F.col("label").alias("old")).join(more, F.col("old") == more.node, "left").select("key", "fp", F.coalesce("root", "old").alias("label"))
+    mixed = named.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("key")
+    still = cut(_joined(named, mixed).select("fp", "label").distinct())
+
+    segments = segments or max_bits + 1
+    wild = _wildcards(_masks(segments, min(segments, segments - max_bits + 1)))
+    sizes = still.groupBy("label").agg(F.count("*").alias("n"))
+    spread = _keys(_dealt(cut(still.join(sizes, "label").select("fp", "label", "n")), still.count(), wild), wild)
+    several = (
+        spread.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.max_by("label", F.struct("n", "label")).alias("major"))
         .where("lo < hi").select("key", "major")
     )
-    held = spread.join(mixed, "key").select("key", "fp", "label", "major")
+    held = cut(_joined(spread, several).select("key", "fp", "label", "major"))
     rare = held.where("label <> major").select("key", F.col("fp").alias("fp1"), F.col("label").alias("label1"))
     across = (
-        rare.join(held, "key").where((F.col("label1") != F.col("label")) & (_apart("fp1", "fp") <= max_bits))
+        rare.join(held, "key").where((F.col("label1") != F.col("label")) & (F.bit_count(F.col("fp1").bitwiseXOR(F.col("fp"))) <= max_bits))
         .select(F.col("label1").alias("a"), F.col("label").alias("b")).distinct()
     )
-    top = components(across)
-    return named.join(top, named.label == top.node, "left").select("fp", F.coalesce("root", "label").alias("root"))
+    top = components(cut(across).union(more.select("node", "root")))
+    return prints.join(top, prints.fp == top.node, "left").select("fp", F.coalesce("root", "fp").alias("root"))
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = SHINGLE, max_bits: int = MAX_BITS) -> DataFrame:
@@ -127,12 +172,18 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", sh
     splits where one fingerprint is hot.
     """
     rows = cut(take(docs, key, text).select(key, fingerprint(F.col(text), shingle).alias("fp")))
+    return rows.join(classes(rows, max_bits, key), "fp", "left").select(key, "fp", "component_id")
+
+
+def classes(rows: DataFrame, max_bits: int = MAX_BITS, key: str = "doc_id") -> DataFrame:
+    """(fp, component_id) for each distinct fingerprint of rows(key, fp): the smallest key that links of max_bits bits reach."""
     ends = rows.groupBy("fp").agg(F.min(key).alias("low"))
-    roots = link(ends, max_bits)
-    kept = ends.join(roots, "fp")
-    first = kept.groupBy("root").agg(F.min("low").alias("component_id"))
-    classes = cut(kept.join(first, "root").select("fp", "component_id"))
-    return rows.join(classes, "fp", "left").select(key, "fp", "component_id")
+    kept = cut(ends.join(link(ends, max_bits), "fp"))
+    # A large component's fingerprints are dealt over SALTS tasks, to each of which its smallest key goes.
+    first = kept.groupBy("root").agg(F.min("low").alias("least"), F.count("*").alias("n")).where("n > 1")
+    first = first.select("root", "least", F.explode(F.array(*map(F.lit, range(SALTS)))).alias("salt"))
+    kept = kept.withColumn("salt", F.pmod(F.xxhash64("fp"), F.lit(SALTS)).cast("int"))
+    return cut(kept.join(first, ["root", "salt"], "left").select("fp", F.coalesce("least", "low").alias("component_id")))
 
 
 def fingerprint_hex(fp: Column | str) -> Column:

@@ -155,10 +155,14 @@ def test_language_gradients_and_labels():
         down = loss()
         m.w[k][at] += 1e-3
         assert abs((up - down) / 2e-3 - g[at]) < 1e-4, k
-    labeller = langid.Labeller(m)
-    labeller(["abc xyz " + "w" * 60])
-    for w in (b"abc", b"xyz"):
-        assert np.abs(labeller.sums[labeller.at[w]] - langid.position_probabilities(m, w).sum(axis=0)).max() < 1e-3
+    labeller, long = langid.Labeller(m), bytes(rng.integers(32, 250, 5000, np.uint8))
+    for data in (b"q", b"abc xyz " * 40, long, long[:256], long[:257], long[:288]):
+        made = langid.windows(data)
+        assert [b for w in made for b in range(w[1], w[2])] == list(range(len(data)))
+        alone = labeller.sums([data])[0]
+        assert np.abs(alone - langid.position_probabilities(m, data).sum(axis=0)).max() < 1e-2
+        assert (labeller.sums([long, data, b"", b"w"])[1] == alone).all()
+    assert labeller([None, "", "12 !", "x"])[0][:3] == ["und"] * 3
 
 
 def test_language(spark, docs, rows, empty):
@@ -414,6 +418,11 @@ def test_mixed_documents(docs, rows):
     assert sum(len(WORD.findall(r.text)) for r in got) == taken
     known = {(r[0], w) for r in rows for w in WORD.findall(r[1] or "")}
     assert all((r.doc_id, w) in known for r in got for w in WORD.findall(r.text))
+    again = mixing.mix_documents(docs, columns, block=16, shard=50, shard_column="to").collect()
+    assert len({r.to for r in again}) > 2 and sum(len(WORD.findall(r.text)) for r in again) == taken
+    made = mixing.Mix(docs, block=16, shard=50)
+    by_shard = {r[0]: r[1] for r in made.draws.groupBy("out_shard").agg(F.sum("count")).collect()}
+    assert sum(by_shard.values()) == made.slots.n.sum() and [by_shard[i] for i in range(len(by_shard) - 1)] == [50] * (len(by_shard) - 1)
     assert mixing.excerpt("a b\nc  d", [(0, 1), (1, 2), (3, 4)], 4) == "a b\nd" and mixing.excerpt(" a b ", [(0, 2)], 2) == " a b "
 
 
@@ -429,9 +438,6 @@ def test_pipeline_stages(spark, docs, rows, empty):
         df = out.cache()
         assert df.count() > 0
     assert P.pack_sequences(spark, df, "").count() > 0
-    near = P.drop_near_copies(spark, take(docs, *P.COLUMNS), "").collect()
-    roots = linked([slow_simhash(r[1]) for r in rows])
-    assert len(near) == len(set(roots.values()))
 
 
 def test_edited_copies_are_dropped(spark, docs, rows):
@@ -459,7 +465,6 @@ def test_edited_copies_are_dropped(spark, docs, rows):
     df = spark.createDataFrame([(i, t, "en", "a", 0) for i, t in enumerate(made)], "doc_id bigint, text string, lang string, source string, n_chars bigint").repartition(5)
     got = dict(P.STAGES)["near_copies"](spark, df, "").collect()
     assert sorted(r.doc_id for r in got) == sorted(set(root))
-    assert len(P.drop_near_copies(spark, df, "").collect()) > len(set(root))
 
 
 def test_capitals_of_long_texts():
