@@ -121,8 +121,8 @@ def link(prints: DataFrame, max_bits: int = MAX_BITS, segments: int | None = Non
     Two fingerprints link if they differ in at most max_bits bits. Exact, in four steps:
     1. Fingerprints meet the smallest and the largest one that agrees with them in two of four 16-bit fields, and the
        verified links are contracted, so that dense groups shrink to one label without a list of their pairs.
-    2. Cut into max_bits + 4 fields, linked fingerprints agree in four fields at least. Those that share no choice
-       of four fields with another label have no further link and are done. The others meet members of the
+    2. Cut into max_bits + 3 fields, linked fingerprints agree in three fields at least. Those that share no choice
+       of three fields with another label have no further link and are done. The others meet members of the
        least and the largest label of each choice, and are contracted likewise.
     3. Fingerprints that still share a choice with another label are cut into `segments`
        segments (by default max_bits + 1); linked ones have segments - max_bits + 1 of them that together differ in at most
@@ -130,12 +130,12 @@ def link(prints: DataFrame, max_bits: int = MAX_BITS, segments: int | None = Non
        Variants are joined by equality, only in buckets that hold several labels, only between members with
        different labels, at least one of which isn't the bucket's most common label; the distance is verified.
     4. Components of all steps' links.
-    A choice of four fields has 32 bits, one of two out of five segments 25 or 26, so that unrelated fingerprints seldom
+    A choice of three fields has 27 bits, one of two out of five segments 25 or 26, so that unrelated fingerprints seldom
     meet. For far more fingerprints than 2**26, more segments give longer keys (six: 32 bits) and more variants.
     """
     prints = cut(take(prints, "fp").dropna().distinct())
     n = prints.count()
-    coarse, fields = _masks(4, 2), _masks(max_bits + 4, 4)
+    coarse, fields = _masks(4, 2), _masks(max_bits + 3, 3)
     near = components(_stars(_ends(_keys(_dealt(prints, n, coarse), coarse).withColumn("label", F.col("fp"))), max_bits))
     named = cut(prints.join(near, prints.fp == near.node, "left").select("fp", F.coalesce("root", "fp").alias("label")))
     some = cut(_ends(_keys(_dealt(named, n, fields), fields)))

@@ -476,3 +476,18 @@ def test_line_dedup_many_repeated_rows(spark):
     got = linededup.dedup_lines(spark.createDataFrame([(1, lines)] * 400, "doc_id bigint, text string"))
     assert got.count() == 400
     assert set(map(tuple, got.collect())) == {(1, lines.rsplit("\n", 1)[0], 4, 3)}
+
+
+def test_compactions_planned_on_one_version(spark, tmp_path):
+    store = sharding.ShardStore(spark, f"file://{tmp_path}/store")
+    for i in range(4):
+        store.append(spark.range(i * 50, i * 50 + 50).coalesce(1))
+    base, columns = len(store.versions()), spark.read.parquet(f"{tmp_path}/store/data/*").schema
+    runs = [*sharding._some(store.plan(version=base).orderBy("run"))]
+    store._merge(runs[0], columns, base)
+    with pytest.raises(sharding.Conflict):
+        store._merge(runs[0], columns, base)
+    (tmp_path / "store" / "log" / "_left-by-a-dead-writer").write_text('{"ver')
+    assert store.append(spark.range(200, 210)) == base + 2
+    store.compact()
+    assert sorted(r[0] for r in store.rows().select("id").collect()) == list(range(210))
