@@ -60,7 +60,7 @@ def wrapped_lines(text: Column, width: Column) -> Column:
     def one(line: Column) -> Column:
         words = F.array_remove(F.split(strip(line), r"(?U)\s+"), "")
         start = F.struct(F.lit(1).alias("lines"), F.lit(0).alias("used"))
-        return F.when(F.size(words) <= 1, F.greatest(F.lit(1), over(weight(line)))).otherwise(F.aggregate(words, start, put, lambda s: s["lines"]))
+        return F.aggregate(words, start, put, lambda s: s["lines"])
 
     return F.aggregate(F.split(text, r"\r?\n"), F.lit(0), lambda total, line: (total + one(line)).cast("int"))
 
@@ -95,11 +95,12 @@ def cell(address: Column) -> Column:
 
 
 def metric_exponents(c: Column) -> Column:
-    """m2 and m3 as m² and m³ where they end a unit of a quantity."""
-    out = c
+    """m2 and m3 as m² and m³ where they are the unit, or end the unit, of a quantity; codes that look alike stay."""
+    number = r"\d+(?:[.,]\d+)?"
     for digit, sign in (("2", "²"), ("3", "³")):
-        out = F.regexp_replace(out, rf"(?<![A-Za-z0-9])((?:\d+(?:[.,]\d+)?\s*)?(?:N|[kcm])?m){digit}(?![A-Za-z0-9])", f"$1{sign}")
-    return out
+        quantity = rf"(?<![\p{{L}}\p{{N}}_./-]){number}(?:\s*[-–~]\s*{number})?\s*(?:[A-Za-z%]{{1,4}}[23²³]?/)?(?:N|[kcmd])?m"
+        c = F.regexp_replace(c, rf"({quantity}){digit}(?![\p{{L}}\p{{N}}_²³]|-[\p{{L}}\p{{N}}])", f"$1{sign}")
+    return c
 
 
 def wildcard_pattern(c: Column) -> Column:
@@ -112,19 +113,19 @@ def wildcard_pattern(c: Column) -> Column:
 
 
 def is_safe_dimension(c: Column) -> Column:
-    return strip(c).rlike(r"^(?i)(?:\d+(?:[.,]\d+)?\s*[*×x]\s*){1,3}\d+(?:[.,]\d+)?(?:\s*(?:mm|cm|m))?$")
+    return strip(c).rlike(fixed.SAFE_DIMENSION)
 
 
 def is_safe_identifier(c: Column) -> Column:
     s = strip(c)
-    return s.rlike(r"^[A-Z]$") | s.isin(*fixed.SAFE_CODES) | s.rlike(r"^(?=[A-Za-z0-9./_-]*\d)[A-Za-z0-9][A-Za-z0-9./_-]*$")
+    return s.rlike(fixed.SAFE_LETTER) | s.isin(*fixed.SAFE_CODES) | s.rlike(fixed.SAFE_IDENTIFIER)
 
 
 def parameter(c: Column) -> Column:
     """STRUCT<label, separator, suffix> of a text like `Power: 45 kW` whose suffix is technical, else null."""
-    shape = r"^\s*([^：:\n]{1,16})([：:])\s*([^\n]+?)\s*$"
+    shape = fixed.PARAMETER
     suffix = F.regexp_extract(c, shape, 3)
-    fits = c.rlike(shape) & suffix.rlike(r"^(?:[+-]?\d|[A-Z]{1,8}\d)") & ~suffix.rlike(r"[\p{IsHan}\p{IsCyrillic}\p{IsArabic}]")
+    fits = c.rlike(shape) & suffix.rlike(fixed.PARAMETER_VALUE) & ~suffix.rlike(r"[\p{IsHan}\p{IsCyrillic}\p{IsArabic}]")
     return F.when(fits, F.struct(strip(F.regexp_extract(c, shape, 1)).alias("label"), F.regexp_extract(c, shape, 2).alias("separator"), suffix.alias("suffix")))
 
 
@@ -152,3 +153,59 @@ def retention_error(decision: Column, reason: Column, code: Column) -> Column:
     kept, unclear = code.isin(*fixed.RETAIN_CODES), code == fixed.UNREADABLE_CODE
     allowed = F.when(decision == "skip_unclear", unclear).when(decision.isin("retain", "reviewed"), kept | unclear).otherwise(kept)
     return F.when(keeps & is_blank(reason), "reason missing").when(keeps & ~F.coalesce(allowed, F.lit(False)), "reason code not allowed")
+
+
+def fixed_label(c: Column) -> Column:
+    """The translation of a fixed label, white space in runs and at the ends apart; else null."""
+    labels = F.create_map(*[F.lit(x) for kv in fixed.LABELS.items() for x in kv])
+    return F.try_element_at(labels, squeeze(c))
+
+
+def autofill(c: Column) -> Column:
+    """What needs no translator: dimensions before identifiers before fixed labels; the rest is pending."""
+    return (
+        F.when(is_safe_dimension(c), "dimension retained").when(is_safe_identifier(c), "identifier retained")
+        .when(fixed_label(c).isNotNull(), "fixed label").otherwise("pending")
+    )
+
+
+def bgr(rgb: Column) -> Column:
+    """A colour of six hex digits, red first, as the number that has blue in its highest byte."""
+    part = lambda i: F.conv(F.substring(rgb, i, 2), 16, 10).cast("int")
+    return F.when(rgb.rlike("^[0-9A-Fa-f]{6}$"), part(5) * 65536 + part(3) * 256 + part(1))
+
+
+def trim_ends(c: Column) -> Column:
+    """Without line ends and vertical tabs at the end, then stripped."""
+    return strip(F.regexp_replace(c, r"[\r\n\x0B]+$", ""))
+
+
+def placeholders(c: Column) -> Column:
+    """The numbering placeholders (%1, %2, ...) of a text, sorted: a bag that a translation must keep."""
+    return F.array_sort(F.regexp_extract_all(c, F.lit(r"%\d"), F.lit(0)))
+
+
+def without_width_controls(c: Column) -> Column:
+    """Without zero-width characters and joiners that only steer where East Asian text breaks."""
+    return F.regexp_replace(c, "[\u200b\u200c\u200d\u2060\ufeff]", "")
+
+
+def has_human_text(texts: Column, prompts: Column | None = None) -> Column:
+    """Whether any of the texts (array) has a letter, apart from template prompts."""
+    own = texts if prompts is None else F.array_except(texts, prompts)
+    return F.exists(own, lambda t: t.rlike(r"\p{L}"))
+
+
+def reads_external_data(part: Column, formula: Column) -> Column:
+    """Whether a part or a formula draws on data outside the workbook."""
+    return F.coalesce(part.rlike("(?i)^xl/(externalLinks|connections|queryTables|model)"), F.lit(False)) | F.coalesce(formula.rlike(r"\[[^\]]+\]|(?i)\b(RTD|WEBSERVICE|CUBE\w*)\("), F.lit(False))
+
+
+def residuals(c: Column, language: Column) -> Column:
+    """How many characters of a text don't belong to its language; known for English, where all but ASCII count."""
+    return F.when(language == "en", F.regexp_count(c, F.lit(r"[^\x00-\x7F]"))).otherwise(0)
+
+
+def same_ratio(a: Column, b: Column, c: Column, d: Column) -> Column:
+    """Whether a / b is c / d, by cross-multiplication."""
+    return a * d == b * c

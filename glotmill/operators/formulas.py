@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from glotmill import fixed
+
 _TOKEN = re.compile(
     r"""(?P<text>"(?:[^"]|"")*")"""
     r"""|(?P<sheet>(?:'(?:[^']|'')+'|[^\W\d][\w.]*|\[[^\]]+\][\w.]+)!)?"""
@@ -17,8 +19,6 @@ _TOKEN = re.compile(
     re.S,
 )
 MAX_ROW, MAX_COL = 1_048_576, 16_384
-#: Functions whose result depends on where rows are.
-POSITIONAL = ("ROW(", "ROWS(", "OFFSET(", "INDIRECT(", "INDEX(", "ADDRESS(", "MATCH(", "XMATCH(")
 
 
 def _col(letters: str) -> int:
@@ -92,20 +92,28 @@ def rename(formula: str | None, names: dict[str, str]) -> str | None:
         if not q or "[" in q or new is None:
             out.append(m.group())
             continue
-        plain = re.fullmatch(r"[^\W\d][\w.]*", new) and not re.fullmatch(r"[A-Za-z]{1,3}\d+", new)
-        out.append((new if plain else "'" + new.replace("'", "''") + "'") + "!" + m.group()[len(q) :])
+        out.append("'" + new.replace("'", "''") + "'!" + m.group()[len(q) :])
     return "".join(out)
 
 
 def map_rows(formula: str | None) -> str | None:
-    """The formula with each row n as 2n - 1, where paired rows keep their sources; None if a positional function stands in it."""
-    if formula is None or any(f in formula.upper() for f in POSITIONAL):
+    """The formula with each row n as 2n - 1, where paired rows keep their sources.
+
+    None if it calls a function whose result depends on rows (fixed.POSITIONAL), names another workbook, or would pass the last row.
+    """
+    if formula is None:
+        return None
+    tokens = [*_TOKEN.finditer(formula)]
+    calls = {m.group("name")[:-1].upper().removeprefix("_XLFN.") for m in tokens if (m.group("name") or "").endswith("(")}
+    if calls & set(fixed.POSITIONAL) or any("[" in (m.group("sheet") or "") for m in tokens):
         return None
     move = lambda a: re.sub(r"(\$?[A-Za-z]{1,3}\$?)(\d+)|^(\$?)(\d+)$", lambda m: (m[1] or m[3] or "") + str(2 * int(m[2] or m[4]) - 1), a)
     out = []
-    for m in _TOKEN.finditer(formula):
+    for m in tokens:
         kind = m.lastgroup
         if kind in ("area", "cell", "rows"):
+            if any(2 * int(n) - 1 > MAX_ROW for n in re.findall(r"\d+", m.group(kind))):
+                return None
             out.append((m.group("sheet") or "") + ":".join(move(p) for p in m.group(kind).split(":")))
         else:
             out.append(m.group())

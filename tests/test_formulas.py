@@ -16,13 +16,17 @@ def test_references():
 
 
 def test_rename_is_simultaneous():
-    assert X.rename('=A!B1+B!A1&"A!B1"', {"A": "B", "B": "A b"}) == "=B!B1+'A b'!A1&\"A!B1\""
+    assert X.rename('=A!B1+B!A1&"A!B1"', {"A": "B", "B": "A b"}) == "='B'!B1+'A b'!A1&\"A!B1\""
     assert X.rename("=[1]A!B1", {"A": "Z"}) == "=[1]A!B1"
 
 
 def test_map_rows_and_shift():
     assert X.map_rows('=A2+$B$3:C4&"A9"') == '=A3+$B$5:C7&"A9"'
     assert X.map_rows("=ROW(A1)") is None
+    for f in ("=VLOOKUP(A5,B2:C9,2,0)", "=sumifs(A:A,B:B,1)", "=COUNTA(A1:A3)", "=[1]A!B1", "=A600000", "=_xlfn.XLOOKUP(A1,B1,C1)"):
+        assert X.map_rows(f) is None, f
+    assert X.map_rows('="ROW("&A3') == '="ROW("&A5' and X.map_rows("=THROW(A1)+Row!A2") == "=THROW(A1)+Row!A3"
+    assert X.rename("=Old!A1+Old!B2", {"Old": "TRUE"}) == "='TRUE'!A1+'TRUE'!B2" and X.rename("=Old!A1", {"Old": "R1C1"}) == "='R1C1'!A1"
     assert X.shift("=A1+$B$2+C$3", 1, 2) == "=B3+$B$2+D$3"
 
 

@@ -44,18 +44,22 @@ def test_glossary(spark):
     assert {(r.source, r.target) for r in entries.collect()} == {("水泵", "pump"), ("阀", "valve")}
     back = glossary.reverse(entries)
     assert {(r.source, r.target) for r in back.collect()} == {("pump", "水泵"), ("water pump", "水泵"), ("valve", "阀")}
-    texts = spark.createDataFrame([(1, "The water pump."), (2, " Valve ")], "k int, t string")
-    got = {(r.k, r.source, r.match_type) for r in glossary.word_matches(texts, back, "k", "t").collect()}
-    assert got == {(1, "pump", "contained"), (1, "water pump", "contained"), (2, "valve", "exact")}
-    found = texts.select(glossary.longest_terms(F.col("t"), ["pump", "water pump", "val"])).collect()
-    assert [[(x.start, x.term) for x in r[0]] for r in found] == [[(4, "water pump")], []]
+    texts = spark.createDataFrame([(1, "The water pump."), (2, " Valve "), (3, "项目总计金额"), (4, "the main power supply, pumped"), (5, None), (6, "计"), (7, "Ünit a.b+c x")], "k int, t string")
+    more = back.select("source", "target").union(spark.createDataFrame([("总计", "Total"), ("main power supply", "x"), ("power", "y"), ("计", "z"), ("a.b+c", "w"), ("ünit", "v")], "source string, target string"))
+    got = {(r.k, r.source, r.match_type) for r in glossary.word_matches(texts, more, "k", "t").collect()}
+    assert got == {
+        (1, "pump", "contained"), (1, "water pump", "contained"), (2, "valve", "exact"), (3, "总计", "contained"), (3, "计", "contained"),
+        (4, "main power supply", "contained"), (4, "power", "contained"), (6, "计", "exact"), (7, "a.b+c", "contained"), (7, "ünit", "contained"),
+    }
+    found = texts.select(glossary.longest_terms(F.col("t"), ["pump", "water pump", "val", "总", "总计"])).collect()
+    assert [[(x.start, x.term) for x in r[0]] for r in found][:5] == [[(4, "water pump")], [], [(2, "总计")], [], []]
 
 
 def test_texts(spark):
     df = spark.createDataFrame([("　a  ",), ("Power: 45 kW",), ("状态: 好",), ("m3 5m3 am3",), ("3 x 4 mm",), ("A1",)], "s string")
     got = df.select(T.strip(F.col("s")).alias("s"), T.parameter(F.col("s"))["label"].alias("p"), T.metric_exponents(F.col("s")).alias("m"), T.is_safe_dimension(F.col("s")).alias("d")).collect()
     assert [r.s for r in got][0] == "a" and [r.p for r in got] == [None, "Power", None, None, None, None]
-    assert got[3].m == "m³ 5m³ am3" and [r.d for r in got].count(True) == 1
+    assert got[3].m == "m3 5m³ am3" and [r.d for r in got].count(True) == 1
     pats = spark.createDataFrame([("a*c", "abbc"), ("a~*c", "abbc"), ("a~*c", "a*c"), ("a?c.", "abcx"), ("a?c.", "abc.")], "w string, t string")
     assert [r[0] for r in pats.select(F.regexp_like("t", T.wildcard_pattern(F.col("w")))).collect()] == [True, False, True, False, True]
 
@@ -94,7 +98,7 @@ def test_closure_of_all_rows(spark):
             if t not in seen:
                 seen.add(t)
                 todo.append(t)
-    got = [r.node for r in queries.QUERIES["relationship_closure_whole"](spark, "/root/testdata/sf0.001").collect()]
+    got = [r.node for r in queries.QUERIES["relationship_closure"](spark, "/root/testdata/sf0.001").collect()]
     assert sorted(got) == sorted(seen)
 
 
@@ -124,9 +128,9 @@ def test_heights_and_boundaries_of_all_rows(spark, tmp_path):
     made = ["", None, "one", "a line\nand a second one that is far too long for a column of width thirty", "\n\n", "x" * 80 + " y\r\nüü " + "z" * 40, "tab\there\nand there"]
     spark.createDataFrame([(i, 0, t) for i, t in enumerate(made)], "conv_id bigint, turn int, text string").write.parquet(f"{tmp_path}/conversations.parquet")
     spark.createDataFrame([(i, t) for i, t in enumerate([*made, "\t", "a\n\tb"])], "doc_id bigint, text string").write.parquet(f"{tmp_path}/documents.parquet")
-    got = {r.conv_id: (r.lines, r.height) for r in queries.QUERIES["row_heights_whole"](spark, str(tmp_path)).collect()}
+    got = {r.conv_id: (r.lines, r.height) for r in queries.QUERIES["row_heights"](spark, str(tmp_path)).collect()}
     assert got == {i: (n, min(409.5, n * 15.0 + 3)) for i, n in enumerate(slow_lines(t or "") for t in made)}
-    kept = {r.doc_id: r.kept for r in queries.QUERIES["boundary_check_whole"](spark, str(tmp_path)).collect()}
+    kept = {r.doc_id: r.kept for r in queries.QUERIES["boundary_check"](spark, str(tmp_path)).collect()}
     assert kept == {i: not (i % 4 == 0 and "\n" in (t or "")) for i, t in enumerate([*made, "\t", "a\n\tb"])}
 
 
@@ -141,3 +145,19 @@ def test_short_and_unspaced_passages(spark):
     items = spark.createDataFrame(list(enumerate(passages)), "i int, p string")
     got = sorted(map(tuple, glossary.contained(texts, items, "k", "t", "i", "p").collect()))
     assert got == sorted((k, i, t.index(p) + 1) for k, t in enumerate(made) for i, p in enumerate(passages) if t is not None and p is not None and p in t)
+
+
+def test_metric_exponents_leave_codes(spark):
+    cases = [
+        ("X30m3", "X30m3"), ("AB12cm2", "AB12cm2"), ("30m3-A", "30m3-A"), ("MODEL/Nm3", "MODEL/Nm3"), ("Storage: 30m3", "Storage: 30m³"), ("Density: 1.45t/m3", "Density: 1.45t/m³"),
+        ("Area: 3500cm2/g", "Area: 3500cm²/g"), ("Dust: 20mg/Nm3", "Dust: 20mg/Nm³"), ("Flow: 30 m3/h", "Flow: 30 m³/h"), ("RM-30m3", "RM-30m3"), ("MODEL/30m3", "MODEL/30m3"),
+        ("Range: 30-40m3/h", "Range: 30-40m³/h"), ("30m3 3500cm2/g 20mg/Nm3 ModelM3 m300", "30m³ 3500cm²/g 20mg/Nm³ ModelM3 m300"), ("see m3 here", "see m3 here"),
+    ]
+    got = spark.createDataFrame(cases, "s string, want string").select("want", T.metric_exponents(F.col("s")).alias("got")).collect()
+    assert [r for r in got if r.got != r.want] == []
+
+
+def test_wrapped_lines_of_spaces(spark):
+    cases = [(" " * 100, 1), ("", 1), ("x" * 50, 3), ("  " + "x" * 10 + " " * 60, 1), ("a\n \nb", 3), ("x" * 23 + " y", 2)]
+    got = spark.createDataFrame(cases, "s string, want int").select("want", T.wrapped_lines(F.col("s"), F.lit(20.0)).alias("got")).collect()
+    assert [r for r in got if r.got != r.want] == []
