@@ -7,6 +7,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -226,9 +227,10 @@ class Labeller:
             at += count
         return total
 
-    def __call__(self, texts: list[str | None]) -> tuple[list[str], list[float]]:
+    def __call__(self, texts: list[str | None] | pa.Array) -> tuple[list[str], list[float]]:
         langs, scores, some, size = [], [], [], 0
         for i, t in enumerate(texts, 1):
+            t = t.as_py() if isinstance(t, pa.Scalar) else t
             some.append(t.encode("utf-8", "surrogatepass") if t and self.m.langs and any(map(str.isalpha, t)) else b"")
             size += len(some[-1])
             if size < BLOCK_BYTES and i < len(texts):
@@ -257,12 +259,12 @@ def _labeller(m: Model) -> Labeller:
 def label(m: Model, text: Column) -> Column:
     """STRUCT<lang_pred, score> of a text column by a trained model."""
 
-    @F.pandas_udf("lang_pred string, score double")
-    def run(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+    @F.arrow_udf("lang_pred string, score double")
+    def run(parts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         labeller = _labeller(m)
         for part in parts:
-            langs, scores = labeller(part.tolist())
-            yield pd.DataFrame({"lang_pred": langs, "score": scores})
+            langs, scores = labeller(part)
+            yield pa.StructArray.from_arrays([pa.array(langs, pa.string()), pa.array(scores, pa.float64())], ["lang_pred", "score"])
 
     return run(text)
 

@@ -6,7 +6,7 @@ from collections.abc import Iterator
 from itertools import combinations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -56,10 +56,10 @@ def simhash(text: str | None, shingle: int = SHINGLE, seed: int = SEED) -> int:
 def fingerprint(text: Column | str, shingle: int = SHINGLE, seed: int = SEED) -> Column:
     """simhash() as a signed BIGINT column."""
 
-    @F.pandas_udf("long")
-    def run(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.arrow_udf("long")
+    def run(parts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for part in parts:
-            yield pd.Series(np.array([simhash(t, shingle, seed) for t in part], np.uint64).view(np.int64))
+            yield pa.array(np.array([simhash(t.as_py(), shingle, seed) for t in part], np.uint64).view(np.int64))
 
     return run(text)
 

@@ -4,11 +4,12 @@ from __future__ import annotations
 
 import math
 import re
+import zlib
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass, field
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -22,6 +23,8 @@ LEAST_DOCS = 4
 #: Standard errors by which a word's log odds must differ between a category's two values.
 LEAST_GAIN = 3.0
 FOLDS = 5
+#: Texts that a worker scores at a time.
+ROWS = 250
 #: Letters of a word's beginning, which is a feature, too.
 STEM = 5
 LETTERS = re.compile(r"[^\W\d_]+")
@@ -144,11 +147,12 @@ def predict(chain: Chain, texts: Sequence[str | None]) -> np.ndarray:
 def score(chain: Chain, text: Column) -> Column:
     """STRUCT of a DOUBLE for each category of the chain."""
 
-    @F.pandas_udf(", ".join(f"`{c}` double" for c in chain.categories))
-    def run(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        for part in parts:
-            got = [predict(chain, part.iloc[i : i + 500].tolist()) for i in range(0, len(part), 500)]
-            yield pd.DataFrame(np.concatenate(got) if got else np.zeros((0, len(chain.categories))), columns=chain.categories)
+    @F.arrow_udf(", ".join(f"`{c}` double" for c in chain.categories))
+    def run(parts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for part in parts:  # texts become Python objects a few at a time
+            got = [predict(chain, part.slice(i, ROWS).to_pylist()) for i in range(0, len(part), ROWS)]
+            all_ = np.concatenate(got) if got else np.zeros((0, len(chain.categories)))
+            yield pa.StructArray.from_arrays([pa.array(np.ascontiguousarray(c)) for c in all_.T], chain.categories)
 
     return run(text)
 
@@ -170,9 +174,11 @@ def fit(docs: DataFrame, labels: DataFrame, categories: dict[str, Column], key:
     # About `sample` rows of a key and labels: small enough to send to every task that reads texts.
     rows = named.where(unit < share).orderBy(F.xxhash64("k", F.lit(6)), "k").limit(sample + sample // 10)
     texts = take(docs, key, text).toDF("k", "t").where(F.col("t").isNotNull())
-    got = texts.join(F.broadcast(rows), "k").orderBy("k", F.xxhash64("t")).toPandas()
+    # One text of each key: repeated rows and ties of keys don't make the sample larger.
+    one = texts.join(F.broadcast(rows), "k").groupBy("k").agg(F.min_by("t", F.xxhash64("t")).alias("t"), *[F.first(c).alias(c) for c in rows.columns[1:]])
+    got = one.toPandas().sort_values("k", ignore_index=True)
     values = got[[f"_{i}" for i in range(len(categories))]].fillna(-1).to_numpy(int) if len(got) else np.zeros((0, len(categories)), int)
-    fold = np.array([hash(int(k)) % 1_000_003 % FOLDS for k in got["k"]], int) if len(got) else np.zeros(0, int)
+    fold = np.array([zlib.crc32(str(k).encode()) % FOLDS for k in got["k"]], int)
     return train(got["t"].tolist(), values, list(categories), fold)
 
 
