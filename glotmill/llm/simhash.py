@@ -102,10 +102,20 @@ def _joined(a: DataFrame, b: DataFrame) -> DataFrame:
     return a.join(b.hint("merge"), "key")
 
 
-def _ends(rows: DataFrame) -> DataFrame:
-    """Of rows(key, fp, label), those whose key has several labels, with an array `e` of the members of its least and largest label."""
+def _bucket() -> list[Column]:
+    """Of a bucket's members, how many there are and in how many bits they differ at all."""
+    return [F.count("*").alias("members"), F.bit_count(F.bit_or("fp").bitwiseXOR(F.bit_and("fp"))).alias("differ")]
+
+
+def _may_link(max_bits: int) -> Column:
+    """False for buckets of two fingerprints that differ in more than max_bits bits, which hold no link."""
+    return (F.col("members") > 2) | (F.col("differ") <= max_bits)
+
+
+def _ends(rows: DataFrame, max_bits: int) -> DataFrame:
+    """Of rows(key, fp, label), those whose key has several labels and may link them, with an array `e` of the members of its least and largest label."""
     mine = F.struct("label", "fp")
-    ends = rows.groupBy("key").agg(F.min(mine).alias("lo"), F.max(mine).alias("hi")).where("lo.label < hi.label")
+    ends = rows.groupBy("key").agg(F.min(mine).alias("lo"), F.max(mine).alias("hi"), *_bucket()).where(F.expr("lo.label < hi.label") & _may_link(max_bits))
     return _joined(rows, ends.select("key", F.array("lo", "hi").alias("e")))
 
 
@@ -125,32 +135,33 @@ def link(prints: DataFrame, max_bits: int = MAX_BITS, segments: int | None = Non
        of three fields with another label have no further link and are done. The others meet members of the
        least and the largest label of each choice, and are contracted likewise.
     3. Fingerprints that still share a choice with another label are cut into `segments`
-       segments (by default max_bits + 1); linked ones have segments - max_bits + 1 of them that together differ in at most
+       segments (by default max_bits + 3); linked ones have segments - max_bits + 1 of them that together differ in at most
        one bit, so they share a deletion variant: such a choice of segments without one of its bits.
        Variants are joined by equality, only in buckets that hold several labels, only between members with
        different labels, at least one of which isn't the bucket's most common label; the distance is verified.
     4. Components of all steps' links.
-    A choice of three fields has 27 bits, one of two out of five segments 25 or 26, so that unrelated fingerprints seldom
-    meet. For far more fingerprints than 2**26, more segments give longer keys (six: 32 bits) and more variants.
+    A bucket of two fingerprints that differ in more than max_bits bits is left out at once in each step.
+    A choice of three fields has 27 bits, one of four out of seven segments 36 with one left out, so that unrelated
+    fingerprints seldom meet. Fewer segments give shorter keys and fewer variants (five: 25 bits, 260 variants; seven: 1,280).
     """
     prints = cut(take(prints, "fp").dropna().distinct())
     n = prints.count()
     coarse, fields = _masks(4, 2), _masks(max_bits + 3, 3)
-    near = components(_stars(_ends(_keys(_dealt(prints, n, coarse), coarse).withColumn("label", F.col("fp"))), max_bits))
+    near = components(_stars(_ends(_keys(_dealt(prints, n, coarse), coarse).withColumn("label", F.col("fp")), max_bits), max_bits))
     named = cut(prints.join(near, prints.fp == near.node, "left").select("fp", F.coalesce("root", "fp").alias("label")))
-    some = cut(_ends(_keys(_dealt(named, n, fields), fields)))
+    some = cut(_ends(_keys(_dealt(named, n, fields), fields), max_bits))
     more = components(_stars(some, max_bits).union(near.select("node", "root")))
     named = some.select("key", "fp", F.col("label").alias("old")).join(more, F.col("old") == more.node, "left").select("key", "fp", F.coalesce("root", "old").alias("label"))
     mixed = named.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("key")
     still = cut(_joined(named, mixed).select("fp", "label").distinct())
 
-    segments = segments or max_bits + 1
+    segments = segments or max_bits + 3
     wild = _wildcards(_masks(segments, min(segments, segments - max_bits + 1)))
     sizes = still.groupBy("label").agg(F.count("*").alias("n"))
     spread = _keys(_dealt(cut(still.join(sizes, "label").select("fp", "label", "n")), still.count(), wild), wild)
     several = (
-        spread.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.max_by("label", F.struct("n", "label")).alias("major"))
-        .where("lo < hi").select("key", "major")
+        spread.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.max_by("label", F.struct("n", "label")).alias("major"), *_bucket())
+        .where(F.expr("lo < hi") & _may_link(max_bits)).select("key", "major")
     )
     held = cut(_joined(spread, several).select("key", "fp", "label", "major"))
     rare = held.where("label <> major").select("key", F.col("fp").alias("fp1"), F.col("label").alias("label1"))
