@@ -135,14 +135,14 @@ def link(prints: DataFrame, max_bits: int = MAX_BITS, segments: int | None = Non
        of three fields with another label have no further link and are done. The others meet members of the
        least and the largest label of each choice, and are contracted likewise.
     3. Fingerprints that still share a choice with another label are cut into `segments`
-       segments (by default max_bits + 3); linked ones have segments - max_bits + 1 of them that together differ in at most
+       segments (by default max_bits + 1); linked ones have segments - max_bits + 1 of them that together differ in at most
        one bit, so they share a deletion variant: such a choice of segments without one of its bits.
        Variants are joined by equality, only in buckets that hold several labels, only between members with
        different labels, at least one of which isn't the bucket's most common label; the distance is verified.
     4. Components of all steps' links.
     A bucket of two fingerprints that differ in more than max_bits bits is left out at once in each step.
-    A choice of three fields has 27 bits, one of four out of seven segments 36 with one left out, so that unrelated
-    fingerprints seldom meet. Fewer segments give shorter keys and fewer variants (five: 25 bits, 260 variants; seven: 1,280).
+    A choice of three fields has 27 bits, one of two out of five segments 25 or 26, so that unrelated fingerprints seldom
+    meet. For far more fingerprints than 2**26, more segments give longer keys (six: 32 bits) and more variants (640 for 260).
     """
     prints = cut(take(prints, "fp").dropna().distinct())
     n = prints.count()
@@ -155,7 +155,7 @@ def link(prints: DataFrame, max_bits: int = MAX_BITS, segments: int | None = Non
     mixed = named.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("key")
     still = cut(_joined(named, mixed).select("fp", "label").distinct())
 
-    segments = segments or max_bits + 3
+    segments = segments or max_bits + 1
     wild = _wildcards(_masks(segments, min(segments, segments - max_bits + 1)))
     sizes = still.groupBy("label").agg(F.count("*").alias("n"))
     spread = _keys(_dealt(cut(still.join(sizes, "label").select("fp", "label", "n")), still.count(), wild), wild)
