@@ -1,4 +1,4 @@
-"""SimHash near-duplicates: one-wildcard variants of few segments, equality joins, verification, components."""
+"""SimHash near-duplicates: choices of fields, one-wildcard variants, equality joins, verification, components."""
 
 from __future__ import annotations
 
@@ -64,16 +64,15 @@ def fingerprint(text: Column | str, shingle: int = SHINGLE, seed: int = SEED) ->
     return run(text)
 
 
-def _masks(fields: int, together: int) -> list[int]:
-    """Of 64 bits cut into `fields` fields, the masks of all choices of `together` fields."""
-    cuts = [64 * i // fields for i in range(fields + 1)]
-    each = [(1 << b) - (1 << a) for a, b in zip(cuts, cuts[1:], strict=False)]
-    return [sum(c) for c in combinations(each, together)]
+def _fields(count: int) -> list[int]:
+    """64 bits cut into so many fields, as masks."""
+    cuts = [64 * i // count for i in range(count + 1)]
+    return [(1 << b) - (1 << a) for a, b in zip(cuts, cuts[1:], strict=False)]
 
 
-def _wildcards(masks: list[int]) -> list[int]:
-    """Each mask as often as it has bits, every time without one of them."""
-    return [m ^ 1 << i for m in masks for i in range(64) if m >> i & 1]
+def _masks(fields: int, together: int) -> list[int]:
+    """Of 64 bits cut into `fields` fields, the masks of all choices of `together` fields."""
+    return [sum(c) for c in combinations(_fields(fields), together)]
 
 
 def _signed(x: int) -> int:
@@ -81,15 +80,43 @@ def _signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
+def _number(i: int) -> int:
+    return _signed((i + 1) * 0x9E3779B97F4A7C15)
+
+
 def _keys(rows: DataFrame, masks: list[int]) -> DataFrame:
-    """rows(fp, ...) once for each mask, with `key`: what the mask leaves of fp, xored with a number of the mask's own.
+    """rows(fp, ...) once for each mask, with `choice`, its number, and `key`: what the mask leaves of fp, xored with a number of the mask's own.
 
     Keys of one mask are equal if and only if the masked bits are; those of two masks hardly ever are,
     and links are verified anyway. The masks are one constant, so that the rows are made in compiled code.
     """
-    table = F.array(*[F.struct(F.lit(_signed(m)).alias("m"), F.lit(_signed((i + 1) * 0x9E3779B97F4A7C15)).alias("c")) for i, m in enumerate(masks)])
+    table = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(_signed(m)).alias("m"), F.lit(_number(i)).alias("c")) for i, m in enumerate(masks)])
     made = rows.withColumn("_v", F.explode(table))
-    return made.select(*rows.columns, F.col("fp").bitwiseAND(F.col("_v.m")).bitwiseXOR(F.col("_v.c")).alias("key"))
+    return made.select(*rows.columns, F.col("_v.i").alias("choice"), F.col("fp").bitwiseAND(F.col("_v.m")).bitwiseXOR(F.col("_v.c")).alias("key"))
+
+
+def _variants(fields: int, together: int) -> tuple[list, list]:
+    """For each choice of `together` fields, the longer keys by which rows of its bucket are met and by which they look, as (mask, number, flipped bit).
+
+    Rows that agree in one more field have a key of it in common. Those that agree in the choice alone, and in every other
+    field but for one bit, look under the keys that the other has in the choice's first other field, one bit flipped.
+    """
+    each, longer = _fields(fields), list(combinations(range(fields), together + 1))
+    met, look = [], []
+    for i, c in enumerate(combinations(range(fields), together)):
+        more = [(sum(each[f] for f in c) | each[d], longer.index((*c, d)), 0) for d in range(c[-1] + 1, fields)]
+        first = min(set(range(fields)) - set(c))
+        mask, number = sum(each[f] for f in c) | each[first], len(longer) + i
+        met.append([*more, (mask, number, 0)])
+        look.append([*more, *((mask, number, 1 << b) for b in range(64) if each[first] >> b & 1)])
+    return met, look
+
+
+def _looked(rows: DataFrame, variants: list) -> DataFrame:
+    """rows(choice, fp, ...) once for each variant of their choice, with `key`."""
+    table = F.array(*[F.array(*[F.struct(F.lit(_signed(m)).alias("m"), F.lit(_number(i)).alias("c"), F.lit(_signed(x)).alias("x")) for m, i, x in v]) for v in variants])
+    made = rows.withColumn("_v", F.explode(F.get(table, F.col("choice"))))
+    return made.select(*rows.columns, F.col("fp").bitwiseXOR(F.col("_v.x")).bitwiseAND(F.col("_v.m")).bitwiseXOR(F.col("_v.c")).alias("key"))
 
 
 def _dealt(rows: DataFrame, n: int, masks: list[int]) -> DataFrame:
@@ -125,48 +152,42 @@ def _stars(met: DataFrame, max_bits: int) -> DataFrame:
     return star.select(F.greatest("label", "e.label").alias("a"), F.least("label", "e.label").alias("b")).distinct()
 
 
-def link(prints: DataFrame, max_bits: int = MAX_BITS, segments: int | None = None) -> DataFrame:
+def link(prints: DataFrame, max_bits: int = MAX_BITS, fields: int | None = None) -> DataFrame:
     """(fp, root) for every distinct fingerprint of prints(fp): root is its component's smallest one.
 
     Two fingerprints link if they differ in at most max_bits bits. Exact, in four steps:
     1. Fingerprints meet the smallest and the largest one that agrees with them in two of four 16-bit fields, and the
        verified links are contracted, so that dense groups shrink to one label without a list of their pairs.
-    2. Cut into max_bits + 3 fields, linked fingerprints agree in three fields at least. Those that share no choice
-       of three fields with another label have no further link and are done. The others meet members of the
+    2. Cut into `fields` fields (by default max_bits + 3), linked fingerprints agree in fields - max_bits at least. Those that
+       share no such choice of fields with another label have no further link and are done. The others meet members of the
        least and the largest label of each choice, and are contracted likewise.
-    3. Fingerprints that still share a choice with another label are cut into `segments`
-       segments (by default max_bits + 1); linked ones have segments - max_bits + 1 of them that together differ in at most
-       one bit, so they share a deletion variant: such a choice of segments without one of its bits.
-       Variants are joined by equality, only in buckets that hold several labels, only between members with
-       different labels, at least one of which isn't the bucket's most common label; the distance is verified.
+    3. Only rows of a choice's bucket that still holds several labels go on. Linked ones agree in one more field, or else
+       differ in exactly one bit of every field outside the choice. So they share a longer key: the choice with a further
+       field, as it is or with one bit flipped (a one-wildcard variant). Only members that don't have the bucket's most
+       common label look under flipped keys; the others are met. Keys are joined by equality, the distance is verified.
     4. Components of all steps' links.
     A bucket of two fingerprints that differ in more than max_bits bits is left out at once in each step.
-    A choice of three fields has 27 bits, one of two out of five segments 25 or 26, so that unrelated fingerprints seldom
-    meet. For far more fingerprints than 2**26, more segments give longer keys (six: 32 bits) and more variants (640 for 260).
+    A choice of three fields has 27 bits, a longer key 36, so that unrelated fingerprints seldom meet. For far more
+    fingerprints than 2**27, more fields give longer keys (eight: 32 bits) and more of them (70 for 35).
     """
     prints = cut(take(prints, "fp").dropna().distinct())
-    n = prints.count()
-    coarse, fields = _masks(4, 2), _masks(max_bits + 3, 3)
+    if max_bits < 1:
+        return prints.select("fp", F.col("fp").alias("root"))
+    n, fields = prints.count(), fields or max_bits + 3
+    coarse, masks = _masks(4, 2), _masks(fields, fields - max_bits)
     near = components(_stars(_ends(_keys(_dealt(prints, n, coarse), coarse).withColumn("label", F.col("fp")), max_bits), max_bits))
     named = cut(prints.join(near, prints.fp == near.node, "left").select("fp", F.coalesce("root", "fp").alias("label")))
-    some = cut(_ends(_keys(_dealt(named, n, fields), fields), max_bits))
+    some = cut(_ends(_keys(_dealt(named, n, masks), masks), max_bits))
     more = components(_stars(some, max_bits).union(near.select("node", "root")))
-    named = some.select("key", "fp", F.col("label").alias("old")).join(more, F.col("old") == more.node, "left").select("key", "fp", F.coalesce("root", "old").alias("label"))
-    mixed = named.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("key")
-    still = cut(_joined(named, mixed).select("fp", "label").distinct())
-
-    segments = segments or max_bits + 1
-    wild = _wildcards(_masks(segments, min(segments, segments - max_bits + 1)))
-    sizes = still.groupBy("label").agg(F.count("*").alias("n"))
-    spread = _keys(_dealt(cut(still.join(sizes, "label").select("fp", "label", "n")), still.count(), wild), wild)
-    several = (
-        spread.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.max_by("label", F.struct("n", "label")).alias("major"), *_bucket())
-        .where(F.expr("lo < hi") & _may_link(max_bits)).select("key", "major")
-    )
-    held = cut(_joined(spread, several).select("key", "fp", "label", "major"))
-    rare = held.where("label <> major").select("key", F.col("fp").alias("fp1"), F.col("label").alias("label1"))
+    named = some.select("key", "choice", "fp", F.col("label").alias("old")).join(more, F.col("old") == more.node, "left").select("key", "choice", "fp", F.coalesce("root", "old").alias("label"))
+    mixed = named.groupBy("key", "label").count().groupBy("key").agg(F.max_by("label", F.struct("count", "label")).alias("major"), F.count("*").alias("labels"))
+    held = cut(_joined(named, mixed.where("labels > 1").select("key", "major")).select("choice", "fp", "label", "major"))
+
+    met, look = _variants(fields, fields - max_bits)
+    rare = held.where("label <> major").select("choice", "fp", "label")
+    rare = _looked(rare, look).select("key", F.col("fp").alias("fp1"), F.col("label").alias("label1"))
     across = (
-        rare.join(held, "key").where((F.col("label1") != F.col("label")) & (F.bit_count(F.col("fp1").bitwiseXOR(F.col("fp"))) <= max_bits))
+        _joined(rare, _looked(held.select("choice", "fp", "label"), met)).where((F.col("label1") != F.col("label")) & (F.bit_count(F.col("fp1").bitwiseXOR(F.col("fp"))) <= max_bits))
         .select(F.col("label1").alias("a"), F.col("label").alias("b")).distinct()
     )
     top = components(cut(across).union(more.select("node", "root")))

@@ -138,6 +138,31 @@ def test_links_of_dense_and_distant_prints(spark):
     assert groups({k & (1 << 64) - 1: v for k, v in got.items()}, int) == groups(want, int)
 
 
+def test_links_of_near_copies_take_few_rows(spark, monkeypatch):
+    rng, made = random.Random(7), []
+    centre = rng.getrandbits(64)
+    flip = lambda p, bits: p ^ sum(1 << b for b in bits)
+    prints = {flip(centre, rng.sample(range(64), rng.choice((1, 2, 3, 4, 7, 8, 9, 10, 11)))) for _ in range(1200)}
+    for _ in range(40):  # one bit in each of four of seven fields
+        lone = rng.getrandbits(64)
+        prints |= {lone, flip(lone, [rng.randrange(64 * f // 7, 64 * (f + 1) // 7) for f in rng.sample(range(7), 4)])}
+
+    def counted(f):
+        def run(*a):
+            made.append(f(*a).count())
+            return f(*a)
+
+        return run
+
+    for name in ("_keys", "_looked"):
+        if hasattr(simhash, name):
+            monkeypatch.setattr(simhash, name, counted(getattr(simhash, name)))
+    got = dict(map(tuple, simhash.link(spark.createDataFrame([(p - (1 << 64) if p >> 63 else p,) for p in prints], "fp bigint")).collect()))
+    same = lambda m: sorted(sorted(k & (1 << 64) - 1 for k in m if m[k] == v) for v in set(m.values()))
+    assert same(got) == same(linked(prints))
+    assert sum(made) < 120 * len(prints), (made, len(prints))
+
+
 def test_language_gradients_and_labels():
     rng = np.random.default_rng(0)
     m = langid.Model(["a", "b", "c"], {k: v.astype(float) for k, v in langid._init(3, 4, 3, rng).items()}, 4)
