@@ -6,6 +6,7 @@ import contextlib
 import re
 import tempfile
 import uuid
+from collections.abc import Iterable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -92,6 +93,13 @@ class Scratch:
             df.write.parquet(f"{self.root}/{name}")
         return self.spark.read.schema(df.schema).parquet(f"{self.root}/{name}")
 
+    def keep_all(self, parts: Iterable[DataFrame], name: str) -> DataFrame:
+        """Write one after another into one table, each with no shuffle files of the ones before, and read it back."""
+        for df in parts:
+            with no_leftovers(self.spark):
+                df.write.mode("append").parquet(f"{self.root}/{name}")
+        return self.spark.read.schema(df.schema).parquet(f"{self.root}/{name}")
+
     def free(self, *names: str) -> None:
         """Delete tables that nothing reads any more."""
         jvm = self.spark.sparkContext._jvm

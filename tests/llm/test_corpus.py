@@ -163,6 +163,36 @@ def test_links_of_near_copies_take_few_rows(spark, monkeypatch):
     assert sum(made) < 120 * len(prints), (made, len(prints))
 
 
+def test_unrelated_pairs_carry_no_texts(spark, monkeypatch):
+    from glotmill.llm import resemblance
+
+    rng, words, kept = random.Random(11), [f"w{i}" for i in range(12)], {}
+    docs = [rng.choices(words, k=2000) for _ in range(40)]
+    for n, cut in ((60, 48), (64, 52), (130, 112), (900, 760)):  # similar sets whose bitmaps may differ in size
+        base = [f"u{n}-{i}" for i in range(n + 4)]
+        docs += [base, base[: cut + 4]]
+    docs = [" ".join(d) for d in docs]
+    keep = resemblance.Scratch.keep
+
+    def counted(self, df, name):
+        out = keep(self, df, name)
+        kept[name] = out.count()
+        return out
+
+    monkeypatch.setattr(resemblance.Scratch, "keep", counted)
+    monkeypatch.setattr(resemblance, "FREQUENT", 0)  # as if the sample had not seen them
+    monkeypatch.setattr(resemblance, "PASS_ROWS", 1000, raising=False)
+    rows = spark.createDataFrame(list(enumerate(docs)), "key bigint, text string")
+    got = {r.key: r.root for r in resemblance.groups(rows).collect()}
+    sets = [set(resemblance.shingle_set(t).tolist()) for t in docs]
+    for a in range(len(docs)):
+        for b in range(a):
+            same = 9 * len(sets[a] & sets[b]) >= 4 * (len(sets[a]) + len(sets[b]))
+            assert same == (got[a] == got[b]), (a, b)
+    assert len(set(got.values())) == 44
+    assert kept["star-texts"] + kept["across-texts"] <= 16, kept
+
+
 def test_language_gradients_and_labels():
     rng = np.random.default_rng(0)
     m = langid.Model(["a", "b", "c"], {k: v.astype(float) for k, v in langid._init(3, 4, 3, rng).items()}, 4)
