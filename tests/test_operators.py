@@ -1,4 +1,5 @@
 import os
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -84,6 +85,30 @@ def test_deep_closure(spark):
         assert sorted(got) == [*range(401), 900]
 
 
+def test_closure_takes_few_rounds(spark, monkeypatch):
+    from glotmill.plans import storage
+
+    kept, times = storage.settled, []
+    monkeypatch.setattr(storage, "settled", lambda df: times.append(1) or kept(df))
+    rng = random.Random(4)
+    chain = [(i, i + d) for i in range(3000) for d in (1, 3)] + [(2990, 20), (7000, 7001), (None, 5000), (17, None)]
+    loose = [(rng.randrange(400), rng.randrange(400)) for _ in range(420)]  # shortening leaves too many edges here
+    for pairs, block in ((chain, 200), (loose, 60)):
+        targets = {}
+        for a, b in pairs:
+            targets.setdefault(a, []).append(b)
+        seen, todo = {0, 9999}, [0, 9999]
+        while todo:
+            for t in targets.get(todo.pop(), ()):
+                if t not in seen:
+                    seen.add(t)
+                    todo += [t] if t is not None else []
+        edges = spark.createDataFrame(pairs, "owner bigint, target bigint")
+        got = [r.node for r in snapshots.closure(edges, spark.createDataFrame([(0,), (9999,)], "owner bigint"), block).collect()]
+        assert sorted(got, key=repr) == sorted(seen, key=repr)
+        assert pairs is loose or len(times) < 25, len(times)
+
+
 @pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.001"), reason="no test tables")
 def test_closure_of_all_rows(spark):
     from glotmill import queries
