@@ -193,6 +193,24 @@ def test_unrelated_pairs_carry_no_texts(spark, monkeypatch):
     assert kept["star-texts"] + kept["across-texts"] <= 16, kept
 
 
+def test_near_copies_go_though_lines_went_first(spark, tmp_path):
+    import corpus_pipeline
+
+    rng = random.Random(13)
+    line = lambda: [f"v{rng.randrange(10**6)}" for _ in range(12)]
+    base = [line() for _ in range(20)]
+    near = [*base[:19], [*base[19][:3], "p", *base[19][4:7], "q", *base[19][8:]]]  # two words of one line: it stays
+    half = [*base[:10], *(line() for _ in range(10))]
+    texts = ["\n".join(map(" ".join, d)) for d in (base, near, half)]
+    docs = spark.createDataFrame([(i, t, "en", "a", len(t)) for i, t in enumerate(texts)], "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    left = corpus_pipeline.dedup_lines(spark, docs, str(tmp_path))
+    assert sorted(r.doc_id for r in left.collect()) == [0, 1, 2]
+    out = corpus_pipeline.drop_near_copies(spark, left, str(tmp_path))
+    assert out.columns == list(corpus_pipeline.COLUMNS)
+    assert sorted((r.doc_id, r.text.count("\n") + 1) for r in out.collect()) == [(0, 20), (2, 10)]
+
+
 def test_language_gradients_and_labels():
     rng = np.random.default_rng(0)
     m = langid.Model(["a", "b", "c"], {k: v.astype(float) for k, v in langid._init(3, 4, 3, rng).items()}, 4)
