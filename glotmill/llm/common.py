@@ -3,16 +3,20 @@
 from __future__ import annotations
 
 import contextlib
+import ctypes
 import re
 import tempfile
 import uuid
 from collections.abc import Iterable
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: A word: a run of anything but space and the ASCII controls 9 to 13.
 WORD = r"[^\x20\x09-\x0D]+"
+#: Rows that go to a Python worker together where whole texts do: bounds what an executor and its workers hold of them.
+BATCH_ROWS = 2_000
 
 
 def take(df: DataFrame, *names: str) -> DataFrame:
@@ -71,6 +75,20 @@ def cut(df: DataFrame) -> DataFrame:
         return df.checkpoint(eager=True)
 
 
+def small_batches(spark: SparkSession) -> None:
+    """From now on at most BATCH_ROWS rows go to a Python worker together. It stays set, as results are computed later; it sets no result."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= BATCH_ROWS:
+        spark.conf.set(name, BATCH_ROWS)
+
+
+def give_back() -> None:
+    """Return what a Python worker has freed to the system. Workers live on after their tasks, and their memory counts beside the executor's."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(AttributeError, OSError):  # only glibc has it
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def row_key(*cols: Column | str) -> Column:
     """A 64-bit key of the row's identifying columns; rows that agree in all of them share it."""
     return F.xxhash64(*cols)

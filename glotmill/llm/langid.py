@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from glotmill.llm.common import take
+from glotmill.llm.common import give_back, take
 
 UND = "und"
 #: A text's bytes are labelled in windows of so many, each read with so many more bytes of the text on either side.
@@ -264,7 +264,9 @@ def label(m: Model, text: Column) -> Column:
         labeller = _labeller(m)
         for part in parts:
             langs, scores = labeller(part)
+            part = None
             yield pa.StructArray.from_arrays([pa.array(langs, pa.string()), pa.array(scores, pa.float64())], ["lang_pred", "score"])
+        give_back()
 
     return run(text)
 

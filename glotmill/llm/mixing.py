@@ -3,14 +3,15 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator, Sequence
+from collections.abc import Iterable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from glotmill.llm.common import WORD, cut, take
+from glotmill.llm.common import WORD, cut, give_back, take
 
 #: Words of a block.
 BLOCK = 256
@@ -128,6 +129,11 @@ class Slots:
         return {"epoch": epoch, "idx": idx, "words": np.where(j == self.n[source] - 1, self.last[source], self.block)}
 
 
+def _table(rows: Iterable[tuple], **types: pa.DataType) -> pa.Table:
+    columns = list(zip(*rows, strict=True)) or [()] * len(types)
+    return pa.table({c: pa.array(x, t) for (c, t), x in zip(types.items(), columns, strict=True)})
+
+
 class Mix:
     """The mix of docs: `located` (documents laid end to end in each source) and `parts` (what it takes of them).
 
@@ -156,10 +162,9 @@ class Mix:
         self.targets = targets(sizes, weights)
         self.slots = Slots(sizes, [min(MOST * w, round(t)) for w, t in zip(sizes, self.targets, strict=True)], block, shard, seed)
         spark = docs.sparkSession
-        known = spark.createDataFrame(
-            [(i, r["src"], r["w"], t, max(1, math.ceil(r["n"] / GROUP_ROWS))) for i, (r, t) in enumerate(zip(stats, self.targets, strict=True))],
-            "sid int, s string, source_size long, target double, groups int",
-        )
+        # Arrow tables: rows of Python objects would go through further Python workers, which stay in each executor.
+        known = [(i, r["src"], r["w"], t, max(1, math.ceil(r["n"] / GROUP_ROWS))) for i, (r, t) in enumerate(zip(stats, self.targets, strict=True))]
+        known = spark.createDataFrame(_table(known, sid=pa.int32(), s=pa.string(), source_size=pa.int64(), target=pa.float64(), groups=pa.int32()))
         placed = sized.join(known, F.col("src").cast("string").eqNullSafe(F.col("s"))).drop("s").withColumn("g", F.pmod(F.xxhash64("h", "k"), F.col("groups")))
         lengths = placed.groupBy("sid", "g").agg(F.sum("size").alias("gw"))
         lengths = lengths.withColumn("base", F.coalesce(F.sum("gw").over(Window.partitionBy("sid").orderBy("g").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
@@ -174,7 +179,7 @@ class Mix:
         )
         slots = self.slots
         #: What each shard draws of each source.
-        self.draws = spark.createDataFrame(slots.draws(), "sid int, out_shard long, first long, count long")
+        self.draws = spark.createDataFrame(_table(slots.draws().itertuples(index=False), sid=pa.int32(), out_shard=pa.int64(), first=pa.int64(), count=pa.int64()))
         drawn = self.draws.select("sid", "out_shard", F.explode(F.sequence("first", F.col("first") + F.col("count") - 1)).alias("j"))
 
         def place(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -185,7 +190,7 @@ class Mix:
         first = F.greatest(F.col("idx") * block, "start")
         until = F.least(F.col("idx") * block + F.col("words"), "end")
         #: sid, start (of a document), epoch, out_shard, and the document's words [lo, hi) that a slot takes.
-        self.parts = pieces.join(made, ["sid", "idx"]).where(until > first).select(
+        self.parts = pieces.join(made.hint("merge"), ["sid", "idx"]).where(until > first).select(
             "sid", "start", "epoch", "out_shard", (first - F.col("start")).alias("lo"), (until - F.col("start")).alias("hi")
         )
 
@@ -220,6 +225,8 @@ def mix_documents(docs: DataFrame, columns: tuple[str, ...], key: str = "doc_id"
     def chosen(parts: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.Series]:
         for texts_, spans, sizes in parts:
             yield pd.Series([excerpt(t, [(x["lo"], x["hi"]) for x in s], n) for t, s, n in zip(texts_, spans, sizes, strict=True)])
+            texts_ = spans = sizes = None
+        give_back()
 
     out = texts.join(rounds, texts["_h"] == rounds["h"])
     return out.withColumn("_new", chosen(F.col(text), "spans", "size")).select(*[F.col("_new").alias(c) if c == text else F.col(c) for c in columns], *([F.col("out_shard").alias(shard_column)] if shard_column else []))

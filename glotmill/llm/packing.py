@@ -16,7 +16,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from glotmill.llm.common import shared_dir, take
+from glotmill.llm.common import give_back, shared_dir, take
 
 SIZE = 2048
 END = 1
@@ -24,8 +24,8 @@ END = 1
 LEAST_CUT = 16
 #: Documents whose rests are equally long are ranked in so many groups at least and at most, one more for each million.
 GROUPS = (64, 4096)
-#: Characters of text whose distinct words are encoded together.
-BLOCK_CHARS = 8_000_000
+#: Characters of text whose distinct words are encoded together, and whose ids leave the worker together.
+BLOCK_CHARS = 2_000_000
 TOKENIZER = "word_bpe_49k.json"
 
 
@@ -231,8 +231,12 @@ def pack(docs: DataFrame, key: str = "doc_id", text: str = "text", tokenizer: st
 
     def ids_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids = [stored(x, end) for x in tokenize(batch.column(1), path)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.binary())], ["k", "ids"])
+            for lo, hi in blocks(pc.binary_length(batch.column(1)).fill_null(0).to_numpy(zero_copy_only=False)):
+                part = batch.slice(lo, hi - lo)
+                ids = pa.array([stored(x, end) for x in tokenize(part.column(1), path)], pa.binary())
+                yield pa.RecordBatch.from_arrays([part.column(0), ids], ["k", "ids"])
+            batch = part = ids = None
+        give_back()
 
     salts = min(GROUPS[1], max(GROUPS[0], math.ceil(rows.count() / 1_000_000)))
     kind = rows.schema[0].dataType.simpleString()
@@ -294,6 +298,8 @@ def _placed(made: DataFrame, counts: np.ndarray, plan: Plan, fulls: int, size: i
                 more = {"ids_crc32": [zlib.crc32(piece(ids[i], a, b)) for i, a, b in places]}
             done = {"k": frame["k"].iloc[at].to_numpy(), "start": start, "length": taken, "doc_tokens": total[at], "sequence_id": sequence, "offset": offset} | more
             yield pd.DataFrame({c: done[c] for c in names})
+            frame = ids = cut = done = more = None
+        give_back()
 
     # Keys travel as text, so that nulls don't turn numbers into floats.
     schema = "k string, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long" + ", ids binary" * with_ids

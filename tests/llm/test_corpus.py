@@ -449,6 +449,37 @@ def test_packing(docs, rows, empty):
     assert packing.pack(empty).count() == 0
 
 
+def _held(spark):
+    """MB that each Python worker holds, those of the daemons' children."""
+
+    def look(frames):
+        for f in frames:
+            import os
+            from pathlib import Path
+
+            held = []
+            for p in Path("/proc").glob("[0-9]*/status"):
+                try:
+                    said = dict(x.split(":", 1) for x in p.read_text().splitlines())
+                except OSError:
+                    continue
+                if int(said["PPid"]) == os.getppid():
+                    held.append(int(said["RssAnon"].split()[0]) / 1024)
+            yield f.assign(id=[int(max(held))] * len(f))
+
+    return spark.range(1).mapInPandas(look, "id long").first()["id"]
+
+
+def test_workers_give_memory_back(spark):
+    from glotmill.llm import packing
+
+    words = F.transform(F.sequence(F.lit(1), F.lit(350)), lambda i: F.concat(F.lit("w"), F.conv(F.pmod(F.xxhash64("doc_id", i), F.lit(200_000)).cast("string"), 10, 36)))
+    docs = spark.range(9_000).select(F.col("id").alias("doc_id")).select("doc_id", F.array_join(words, " ").alias("text")).coalesce(1)
+    before = _held(spark)
+    assert packing.pack(docs, with_ids=False).agg(F.sum("length")).first()[0] > 9_000 * 350
+    assert _held(spark) < before + 110  # the tokenizer takes about 50
+
+
 @pytest.mark.parametrize("text", ["İstanbul ΣΑΣ ß e\u0301 \u00a0x\u2003y <|endoftext|>a b", "<|ENDOFTEXT|> x", "T\u0308 a.", "a., .b ,. a.. a',b it's. IT'S, x1, 7. é,", "\x1c a\x85b", "", " \n\t"])
 def test_tokenize_equals_the_tokenizer(text):
     from tokenizers import Tokenizer
