@@ -211,6 +211,24 @@ def test_near_copies_go_though_lines_went_first(spark, tmp_path):
     assert sorted((r.doc_id, r.text.count("\n") + 1) for r in out.collect()) == [(0, 20), (2, 10)]
 
 
+def _documents(spark, texts, ids=None):
+    rows = [(i, t, "en", "a", len(t)) for i, t in zip(ids or range(len(texts)), texts, strict=True)]
+    return spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, n_chars bigint")
+
+
+def _line(rng):
+    return " ".join(f"v{rng.randrange(10**6)}" for _ in range(12))
+
+
+def test_near_copies_where_no_documents_are(spark, tmp_path):
+    import corpus_pipeline
+
+    rng = random.Random(23)
+    a = _line(rng) + " " + _line(rng)
+    out = corpus_pipeline.drop_near_copies(spark, _documents(spark, [a, a + " p", _line(rng)]), str(tmp_path))
+    assert sorted(r.doc_id for r in out.collect()) == [0, 2]
+
+
 def test_language_gradients_and_labels():
     rng = np.random.default_rng(0)
     m = langid.Model(["a", "b", "c"], {k: v.astype(float) for k, v in langid._init(3, 4, 3, rng).items()}, 4)
