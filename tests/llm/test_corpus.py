@@ -229,6 +229,33 @@ def test_near_copies_where_no_documents_are(spark, tmp_path):
     assert sorted(r.doc_id for r in out.collect()) == [0, 2]
 
 
+def test_near_copies_of_texts_at_hand_go(spark, tmp_path):
+    import corpus_pipeline
+
+    rng = random.Random(17)
+    a = "\n".join(_line(rng) for _ in range(20))
+    whole = [a + "\n" + _line(rng), "\n".join(_line(rng) for _ in range(30)) + "\n" + a + " p", _line(rng), _line(rng)]
+    _documents(spark, whole).write.parquet(f"{tmp_path}/documents.parquet")
+    # What is left of 0 and 1 is alike though the whole texts aren't; 2 and 3 are rows of other origin.
+    left = _documents(spark, [a, a + " p", b := _line(rng) + " " + _line(rng), b + " q"])
+    assert sorted(r.doc_id for r in corpus_pipeline.drop_near_copies(spark, left, str(tmp_path)).collect()) == [0, 2]
+
+
+def test_near_copies_of_whole_texts_with_repeated_ids_go(spark, tmp_path):
+    import corpus_pipeline
+
+    rng = random.Random(19)
+    base = [_line(rng) for _ in range(20)]
+    last = base[19].split()
+    near = [*base[:19], " ".join([*last[:3], "p", *last[4:7], "q", *last[8:]])]
+    docs = _documents(spark, ["\n".join(base), "\n".join(near), "\n".join(_line(rng) for _ in range(20))], [1, 7, 7])
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    left = corpus_pipeline.dedup_lines(spark, docs, str(tmp_path))
+    assert sorted(r.text.count("\n") for r in left.collect()) == [0, 19, 19]
+    out = corpus_pipeline.drop_near_copies(spark, left, str(tmp_path))
+    assert sorted((r.doc_id, r.text.count("\n")) for r in out.collect()) == [(1, 19), (7, 19)]
+
+
 def test_language_gradients_and_labels():
     rng = np.random.default_rng(0)
     m = langid.Model(["a", "b", "c"], {k: v.astype(float) for k, v in langid._init(3, 4, 3, rng).items()}, 4)
