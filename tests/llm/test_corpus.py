@@ -256,6 +256,23 @@ def test_near_copies_of_whole_texts_with_repeated_ids_go(spark, tmp_path):
     assert sorted((r.doc_id, r.text.count("\n")) for r in out.collect()) == [(1, 19), (7, 19)]
 
 
+def test_few_links_take_one_task(spark, monkeypatch):
+    from glotmill.llm import graph
+
+    rng = random.Random(29)
+    edges = [(rng.randrange(300), rng.randrange(300)) for _ in range(150)] + [(500 + i, 501 + i) for i in range(40)]
+    df, name = spark.createDataFrame(edges, "a bigint, b bigint"), "spark.sql.adaptive.coalescePartitions.enabled"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "false")
+    try:
+        one = graph.components(df)
+        monkeypatch.setattr(graph, "FEW", 0, raising=False)
+        assert sorted(one.collect()) == sorted(graph.components(df).collect())
+        assert one.rdd.getNumPartitions() == 1 and graph.components(df.limit(0)).count() == 0
+    finally:
+        spark.conf.set(name, before)
+
+
 def test_language_gradients_and_labels():
     rng = np.random.default_rng(0)
     m = langid.Model(["a", "b", "c"], {k: v.astype(float) for k, v in langid._init(3, 4, 3, rng).items()}, 4)
