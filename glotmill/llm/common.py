@@ -106,17 +106,16 @@ class Scratch:
         self.spark, self.root = spark, f"{shared_dir(spark)}/scratch-{uuid.uuid4().hex}"
 
     def keep(self, df: DataFrame, name: str) -> DataFrame:
-        """Write df as a table and read it back; the shuffle files that made it go."""
+        """Write df as a table, or add it to one, and read that back; the shuffle files that made it go."""
         with no_leftovers(self.spark):
-            df.write.parquet(f"{self.root}/{name}")
+            df.write.mode("append").parquet(f"{self.root}/{name}")
         return self.spark.read.schema(df.schema).parquet(f"{self.root}/{name}")
 
     def keep_all(self, parts: Iterable[DataFrame], name: str) -> DataFrame:
         """Write one after another into one table, each with no shuffle files of the ones before, and read it back."""
         for df in parts:
-            with no_leftovers(self.spark):
-                df.write.mode("append").parquet(f"{self.root}/{name}")
-        return self.spark.read.schema(df.schema).parquet(f"{self.root}/{name}")
+            out = self.keep(df, name)
+        return out
 
     def free(self, *names: str) -> None:
         """Delete tables that nothing reads any more."""

@@ -241,6 +241,34 @@ def test_near_copies_of_texts_at_hand_go(spark, tmp_path):
     assert sorted(r.doc_id for r in corpus_pipeline.drop_near_copies(spark, left, str(tmp_path)).collect()) == [0, 2]
 
 
+def test_near_copies_take_disk_for_a_range_at_a_time(spark, tmp_path, monkeypatch):
+    import corpus_pipeline
+    from glotmill.llm import resemblance
+
+    rng, kept, read, keep = random.Random(29), {}, {}, resemblance.Scratch.keep
+    lines = [[_line(rng) for _ in range(20)] for _ in range(6)]
+    whole = ["\n".join(x) for x in lines]
+    last = lines[5][19].split()
+    whole.append("\n".join([*lines[5][:19], " ".join([*last[:3], "p", *last[4:]])]))  # resembles the one before
+    _documents(spark, whole).write.parquet(f"{tmp_path}/documents.parquet")
+    left = _documents(spark, ["\n".join(x.split("\n")[:19]) for x in whole[:5]] + whole[5:])  # five have lost a line
+
+    def counted(self, df, name):
+        read.setdefault(name, []).append({m[0] for f in df.inputFiles() if (m := re.search(r"/some\d", f))})
+        out = keep(self, df, name)
+        kept[name] = out.count()
+        return out
+
+    monkeypatch.setattr(resemblance.Scratch, "keep", counted)
+    monkeypatch.setattr(resemblance, "FEW", 0, raising=False)
+    monkeypatch.setattr(resemblance, "PASS_ROWS", 100)
+    out = corpus_pipeline.drop_near_copies(spark, left, str(tmp_path))
+    assert sorted(r.doc_id for r in out.collect()) == [0, 1, 2, 3, 4, 5]
+    assert kept["tied"] == 5 and kept["star-pairs"] == 1 and kept["star-texts"] == 2, kept  # ties are not compared
+    assert read["stars"] == [{f"/some{i}"} for i in range(resemblance.PASSES)]
+    assert all(read[f"held{i}"] == [{f"/some{i}"}] for i in range(resemblance.PASSES))
+
+
 def test_near_copies_of_whole_texts_with_repeated_ids_go(spark, tmp_path):
     import corpus_pipeline
 
